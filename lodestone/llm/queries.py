@@ -15,5 +15,17 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir))
 
 
-QUERIES = {"op2_simhash": op2_simhash}
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contamination, report
+
+    return report(contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import languages
+
+    return languages(_docs(spark, sf_dir))
+
+
+QUERIES = {"op2_simhash": op2_simhash, "op3_decontamination": op3_decontamination, "op6_language": op6_language}
 ORACLE_SQL: dict[str, str] = {}
