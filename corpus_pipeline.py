@@ -9,25 +9,21 @@ brute force.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodestone.llm import common, decontam, langid, packing, pii, simhash
 
-#: Near duplicates: 5-word shingles; links at 3 or fewer of 64 bits are then held to a similarity of 0.8.
-SHINGLE, RADIUS = 5, 3
+#: Near duplicates: the Jaccard similarity of 5-word shingles is 0.8 or more.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents of an identifiable language: those without text or without a letter go."""
-    src = docs.where(F.col("text").isNotNull())
-    parser = langid.train(src)
-    found = langid.keep_identified(docs, parser)
-    return found
+    return langid.keep_identified(docs, langid.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that with the smallest doc_id."""
-    return simhash.keep_one(docs, SHINGLE, RADIUS)
+    return simhash.keep_one(docs, SHINGLE, SIMILARITY)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,6 +50,11 @@ class Windows:
         self.hash_of = dict(zip(flat, C.spans_hash(buf, at[:-1], at[1:]).tolist())) if flat else {}
         self.vocabulary = np.unique(np.array(list(self.hash_of.values()), np.uint64))
 
+    def keep(self, words: int) -> None:
+        """Only windows of so many words."""
+        which = [i for i, w in enumerate(self.words) if len(w) == words]
+        self.text, self.words = [self.text[i] for i in which], [self.words[i] for i in which]
+
     def order(self, count: dict[int, int]) -> "Windows":
         """Index every window under its rarest word; count: of each word's hash in all documents."""
         by: dict[int, set[tuple[int, int]]] = {}
@@ -182,6 +187,36 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     return out.drop("text")
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, in which no whole window of an item occurs.
+
+    An item of fewer words than a window is too little to tell and isn't looked for.
+    """
+    spark = docs.sparkSession
+    C.small_batches(spark)
+    src = docs.select(F.col(text_col).cast("string").alias("text"))
+    bench = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
+    schema = docs.schema
+    for n, items in _blocks(bench, block_words):
+        w = Windows([(r.item_id, r.text) for r in items], window)
+        w.keep(window)
+        w = w.order(_count(src, w.vocabulary))
+        shared = spark.sparkContext.broadcast(w)
+
+        def run(batches, shared=shared):
+            for rows, buf, offs in C.text_slices(batches, column=text_col):
+                low, starts, ends, h = _words(buf, offs)
+                doc = C.owner(starts, offs)
+                ok = np.ones(len(offs) - 1, bool)
+                ok[doc[shared.value.find(low, starts, ends, h, doc)[0]]] = False
+                yield rows.filter(pa.array(ok))
+
+        docs = docs.mapInArrow(run, schema)
+        if n > 1:
+            docs = C.materialize(docs)
+    return docs
+
+
 def report(found: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:
     """The digest columns of what contamination() finds."""
     return found.select(

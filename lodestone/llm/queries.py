@@ -27,5 +27,17 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(_docs(spark, sf_dir))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_decontamination": op3_decontamination, "op6_language": op6_language}
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_docs(spark, sf_dir))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find, report
+
+    return report(find(_docs(spark, sf_dir)))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op3_decontamination": op3_decontamination, "op6_language": op6_language, "op9_pii": op9_pii}
 ORACLE_SQL: dict[str, str] = {}

@@ -105,7 +105,7 @@ class BKTree:
 
 def group_links(values: np.ndarray, radius: int):
     """A spanning forest of the links among distinct values: (value, root)."""
-    v = np.unique(values).view(np.uint64) if values.dtype != np.uint64 else np.unique(values)
+    v = np.unique(values.view(np.uint64))
     lab = np.arange(len(v))
     held, size = [], 0
 
@@ -125,18 +125,31 @@ def group_links(values: np.ndarray, radius: int):
     return v[out].view(np.int64), v[lab[out]].view(np.int64)
 
 
-def _masks(radius: int) -> list[int]:
+def group_nearest(values: np.ndarray, radius: int):
+    """Each value's nearest smaller value within the radius: (value, nearest); as many rows as values at most."""
+    v = np.unique(values.view(np.uint64))
+    best, of = np.full(len(v), radius + 1), np.zeros(len(v), np.int64)
+    for near, at in BKTree(v).within(v, radius):
+        near = near[near > at]
+        d = hamming(v[near], v[at]).astype(int)
+        up = d < best[near]
+        best[near[up]], of[near[up]] = d[up], at
+    has = best <= radius
+    return v[has].view(np.int64), v[of[has]].view(np.int64)
+
+
+def _masks(radius: int, untouched: int = UNTOUCHED) -> list[int]:
     """The bits that each choice of blocks keeps."""
-    m = radius + UNTOUCHED
+    m = radius + untouched
     edge = [64 * i // m for i in range(m + 1)]
     block = [((1 << edge[i + 1]) - 1) ^ ((1 << edge[i]) - 1) for i in range(m)]
-    return [sum(block[i] for i in c) for c in combinations(range(m), UNTOUCHED)]
+    return [sum(block[i] for i in c) for c in combinations(range(m), untouched)]
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, untouched: int = UNTOUCHED, solve_group=group_links) -> DataFrame:
     """(a, b): a spanning forest, by group, of the links between distinct fingerprints in column fp."""
-    masks = [x - (1 << 64) if x >= 1 << 63 else x for x in _masks(radius)]
-    assert len(masks) == comb(radius + UNTOUCHED, UNTOUCHED)
+    masks = [x - (1 << 64) if x >= 1 << 63 else x for x in _masks(radius, untouched)]
+    assert len(masks) == comb(radius + untouched, untouched)
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("choice", "key"))
     n = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 12)
 
@@ -148,7 +161,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             cut = np.flatnonzero((c[1:] != c[:-1]) | (k[1:] != k[:-1])) + 1
             for i, j in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(v)]])):
                 if j - i > 1:
-                    yield group_links(v[i:j], radius)
+                    yield solve_group(v[i:j], radius)
 
         def emit(found):
             if found:
@@ -183,3 +196,57 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     of = reps.join(linked, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"))
     out = prints.join(of, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# ---- one document of each group, for filtering a corpus -------------------------------------------
+NEAR_SHINGLE, NEAR_RADIUS, NEAR_UNTOUCHED, SIMILARITY = 2, 6, 3, 0.8
+
+
+def similarity(a: str | None, b: str | None, shingle: int) -> float:
+    """Jaccard similarity of the sets of word shingles, ASCII letters lower-cased; 1 for two texts without words."""
+    x, y = ({b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} for w in ((t or "").encode().lower().split() for t in (a, b)))
+    return len(x & y) / len(x | y)
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY, radius: int = NEAR_RADIUS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs that stay when one document, that with the smallest doc_id, of each group does.
+
+    Equal word sequences are grouped first. Of the rest, each fingerprint (of 2-word shingles: they
+    move less than longer ones when a word changes) is tied to its nearest smaller one within the
+    radius in every group of the blocks' keys, and to the same fingerprint's first document; a tie
+    counts where the exact Jaccard similarity of the shingles is at least least. Rows without a
+    doc_id stay; rows that repeat a doc_id share its fate; all columns stay as they are.
+    """
+
+    def run(batches):
+        for rows, buf, offs in C.text_slices(batches):
+            raw = buf.tobytes()
+            exact = [xxhash.xxh3_128_intdigest(b" ".join(raw[s:e].lower().split())) for s, e in zip(offs[:-1].tolist(), offs[1:].tolist())]
+            low = np.array([x & (1 << 64) - 1 for x in exact], np.uint64).view(np.int64)
+            high = np.array([x >> 64 for x in exact], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fingerprint_slice(buf, offs, NEAR_SHINGLE)), pa.array(low), pa.array(high)], ["doc_id", "fp", "low", "high"])
+
+    src = C.source(docs, text_col, id_col).where("doc_id is not null")
+    prints = C.materialize(src.mapInArrow(run, "doc_id long, fp long, low long, high long"))
+    firsts = C.materialize(prints.groupBy("low", "high").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")))
+    reps = C.materialize(firsts.groupBy("fp").agg(F.min("first").alias("rep")))
+    near = links(reps.select("fp"), radius, NEAR_UNTOUCHED, group_nearest).distinct()
+    rep_a, rep_b = (reps.select(F.col("fp").alias(x), F.col("rep").alias(y)) for x, y in (("a", "u"), ("b", "v")))
+    ties = near.join(rep_a, "a").join(rep_b, "b").select("u", "v")
+    ties = ties.unionByName(firsts.join(reps, "fp").where("first <> rep").select(F.col("first").alias("u"), F.col("rep").alias("v")))
+    ties = C.materialize(ties.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    ends = ties.select(F.col("u").alias("doc_id")).union(ties.select(F.col("v").alias("doc_id"))).distinct()
+    texts = C.materialize(src.dropDuplicates(["doc_id"]).join(ends, "doc_id", "left_semi"))
+    pairs = ties.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
+
+    def verify(batches):
+        for b in batches:
+            u, v, tu, tv = (b.column(b.schema.get_field_index(x)) for x in ("u", "v", "tu", "tv"))
+            ok = pa.array([similarity(x.as_py(), y.as_py(), shingle) >= least for x, y in zip(tu, tv)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([u.filter(ok), v.filter(ok)], ["a", "b"])
+
+    labels = C.components(pairs.select("u", "v", "tu", "tv").mapInArrow(verify, "a long, b long"))
+    gone = labels.where("node <> label").select(F.col("node").alias("_gone"))
+    copies = prints.join(firsts.select("low", "high", "first"), ["low", "high"]).where("doc_id <> first").select(F.col("doc_id").alias("_gone"))
+    gone = C.materialize(gone.unionByName(copies).distinct())
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
