@@ -40,7 +40,8 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """At most 1000 rows, and so a few MB of text, in an Arrow batch."""
+    """At most 1000 rows or 8 MB in an Arrow batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 1000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 

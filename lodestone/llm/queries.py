@@ -39,5 +39,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(find(_docs(spark, sf_dir)))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op3_decontamination": op3_decontamination, "op6_language": op6_language, "op9_pii": op9_pii}
+def op8_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .blockdedup import repeats
+
+    return repeats(_docs(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256", "n_spans")
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op3_decontamination": op3_decontamination, "op6_language": op6_language, "op8_blocks": op8_blocks, "op9_pii": op9_pii}
 ORACLE_SQL: dict[str, str] = {}
