@@ -45,5 +45,11 @@ def op8_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(_docs(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256", "n_spans")
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op3_decontamination": op3_decontamination, "op6_language": op6_language, "op8_blocks": op8_blocks, "op9_pii": op9_pii}
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixdedup import repeats
+
+    return repeats(_docs(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op3_decontamination": op3_decontamination, "op6_language": op6_language, "op8_blocks": op8_blocks, "op9_pii": op9_pii, "op10_suffix": op10_suffix}
 ORACLE_SQL: dict[str, str] = {}
