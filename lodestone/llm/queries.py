@@ -51,5 +51,11 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(_docs(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op3_decontamination": op3_decontamination, "op6_language": op6_language, "op8_blocks": op8_blocks, "op9_pii": op9_pii, "op10_suffix": op10_suffix}
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(_docs(spark, sf_dir)).drop("blocks")
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op3_decontamination": op3_decontamination, "op5_licenses": op5_licenses, "op6_language": op6_language, "op8_blocks": op8_blocks, "op9_pii": op9_pii, "op10_suffix": op10_suffix}
 ORACLE_SQL: dict[str, str] = {}
