@@ -57,5 +57,17 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_docs(spark, sf_dir)).drop("blocks")
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op3_decontamination": op3_decontamination, "op5_licenses": op5_licenses, "op6_language": op6_language, "op8_blocks": op8_blocks, "op9_pii": op9_pii, "op10_suffix": op10_suffix}
+def op4_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tiff import digest, encode
+
+    return digest(encode(_docs(spark, sf_dir)))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op3_decontamination": op3_decontamination, "op4_tiff": op4_tiff, "op5_licenses": op5_licenses, "op6_language": op6_language, "op7_quality": op7_quality, "op8_blocks": op8_blocks, "op9_pii": op9_pii, "op10_suffix": op10_suffix}
 ORACLE_SQL: dict[str, str] = {}
