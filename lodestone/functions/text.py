@@ -152,35 +152,48 @@ def occurrences(x: Column, text: str) -> Column:
     return F.floor((F.char_length(n) - F.char_length(F.replace(n, F.lit(text.lower()), F.lit("")))) / len(text)).cast("int")
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x computed once for each row: what a lambda refers to is else computed again for each element."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def places(tokens: Column, phrase: list[str]) -> Column:
     """Where the phrase's first word stands."""
     if len(phrase) == 1:
         return F.filter(F.transform(tokens, lambda t, i: F.when(t == phrase[0], i)), lambda p: p.isNotNull())
     want = F.array(*map(F.lit, phrase))
-    last = F.size(tokens) - len(phrase)
-    return F.when(last >= 0, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.slice(tokens, i + 1, F.lit(len(phrase))) == want)).otherwise(F.array().cast("array<int>"))
+
+    def find(t):
+        last = F.size(t) - len(phrase)
+        first = F.filter(F.transform(t, lambda w, i: F.when(w == phrase[0], i)), lambda p: p.isNotNull())
+        return F.filter(first, lambda i: (i <= last) & (F.slice(t, i + 1, F.lit(len(phrase))) == want))
+
+    return let(tokens, find)
 
 
 def near(tokens: Column, phrases: list[list[str]], most: int = 10, least: int | None = None, ordered: bool = False) -> Column:
     """Whether all phrases stand near each other: from the end of the first to the start of the last, in words."""
     if not phrases or not all(phrases):
         return F.lit(False)
-
-    def down(rest, chosen):
-        if not rest:
-            starts = [s for s, _ in chosen]
-            first_end = F.least(*[s + n for s, n in chosen]) if len(chosen) > 1 else chosen[0][0] + chosen[0][1]
-            gap = (F.greatest(*starts) if len(starts) > 1 else starts[0]) - first_end
-            ok = F.lit(True) if most < 0 else gap <= most
-            if least is not None:
-                ok = ok & (gap >= least)
-            if ordered:
-                for a, b in zip(starts, starts[1:]):
-                    ok = ok & (a < b)
-            return ok
-        return F.exists(places(tokens, rest[0]), lambda p: down(rest[1:], [*chosen, (p, len(rest[0]))]))
-
-    return F.coalesce(down(phrases, []), F.lit(False))
+    size = [len(p) for p in phrases]
+
+    def close(starts):
+        if len(starts) == 1:
+            return F.lit(True)
+        gap = F.greatest(*starts) - F.least(*[s + n for s, n in zip(starts, size)])
+        ok = F.lit(True) if most < 0 else gap <= most
+        if least is not None:
+            ok = ok & (gap >= least)
+        for a, b in zip(starts, starts[1:]) if ordered else ():
+            ok = ok & (a < b)
+        return ok
+
+    def down(found, starts):
+        k = len(starts)
+        return close(starts) if k == len(phrases) else F.exists(F.get(found, F.lit(k)), lambda p: down(found, [*starts, p]))
+
+    every = let(tokens, lambda t: F.array(*[places(t, p) for p in phrases]))
+    return F.coalesce(let(every, lambda found: down(found, [])), F.lit(False))
 
 
 def product(text: str) -> list[list[list[str]]]:
