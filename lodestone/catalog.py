@@ -104,7 +104,7 @@ def facet_many_one_scan(spark, d):
     return facets.many(_t(spark, d, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber", "l_discount", "l_tax"])
 
 
-@query("SELECT o_orderpriority, count(*) AS _nsubrecs, count(*) + CASE WHEN o_orderpriority = '1-URGENT' THEN 10.0 ELSE 0.0 END AS _score FROM orders GROUP BY 1 ORDER BY _score DESC, 1 LIMIT 3")
+@query("SELECT o_orderpriority, count(*) AS _nsubrecs, (count(*) + CASE WHEN o_orderpriority = '1-URGENT' THEN 10 ELSE 0 END)::DOUBLE AS _score FROM orders GROUP BY 1 ORDER BY _score DESC, 1 LIMIT 3")
 def facet_adjuster(spark, d):
     return facets.drilldown(_t(spark, d, "orders"), "o_orderpriority", adjuster='o_orderpriority == "1-URGENT" * 10', sort_keys="-_score", limit=3)
 

@@ -1,0 +1,219 @@
+"""The semantics that the SQL comparison doesn't reach, on small tables."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.functions import geo, scalar as A, text as X, times
+from lodestone.operators import facets, index, joins, windows
+from lodestone.operators.expression import Compiler
+from lodestone.operators.select import escalate, page, select
+from lodestone.plans import syntax as S
+from lodestone.sources import io, logical
+from lodestone.streaming import windows as streams
+
+
+def col(df, c):
+    return [r[0] for r in df.select(c).collect()]
+
+
+@pytest.fixture(scope="module")
+def words(spark):
+    return spark.createDataFrame([(1, "a b c d e f g i"), (2, "a x"), (3, "c b a"), (4, None), (5, "")], "id long, t string")
+
+
+def found(df, script):
+    return sorted(r.id for r in select(df, filter=script).records.collect())
+
+
+def test_near_intervals(words):
+    assert found(words, 't *N5 "a g"') == [1]
+    assert found(words, 't *N5 "a i"') == []
+    assert found(words, 't *N10 "a c"') == [1, 3]
+    assert found(words, 't *ONP10 "a c"') == [1]
+    assert found(words, 't *NP10,0,,2 "a c"') == []
+    assert found(words, 't *NPP10 "(a x) (c)"') == [1, 3]
+
+
+def test_truthy_or_and_null(words):
+    assert found(words, 't || id == 5') == [1, 2, 3, 5]
+    assert found(words, 't == null') == [4]
+    assert found(words, '!(t @ "a")') == [4, 5]
+    df = select(words, output_columns='id, t || "unknown"').records
+    assert sorted(map(tuple, df.collect()))[3:] == [(4, "unknown"), (5, "unknown")]
+
+
+def test_scores_add_and_adjust(spark):
+    df = spark.createDataFrame([("k", "x y x")], "k string, t string")
+    score = lambda s: df.select(Compiler(df).score(S.parse_script(s))).first()[0]
+    assert score('t @ "x" && t @ "y"') == 3
+    assert score('t @ "x" &! t @ "y"') == 2
+    assert score('t @ "y" *> t @ "x" * 1.5') == 4
+    assert score('t @ "y" *< t @ "x" * 2.5') == -4
+    assert score('scorer_tf_at_most(t, "x", 1)') == 1
+
+
+def test_parse_errors():
+    for bad in ("a ==", "(a", "a++", "'x"):
+        with pytest.raises(S.SyntaxProblem):
+            S.parse_script(bad)
+    with pytest.raises(S.SyntaxProblem):
+        S.parse_query("-a", "t")
+
+
+def test_query_language(words):
+    ids = lambda q, **k: sorted(r.id for r in select(words, query=q, match_columns="t", **k).records.collect())
+    assert ids("a -x") == [1, 3]
+    assert ids("x OR d") == [1, 2]
+    assert ids('"b a"') == [3]
+    assert ids("id:>=4") == [4, 5]
+    assert ids("*") == [1, 2, 3, 4, 5]
+    assert ids('t:^c') == [3]
+    assert ids('t:$x') == [2]
+
+
+def test_negative_offset(spark):
+    df = spark.range(1, 11)
+    assert col(page(df.orderBy("id"), -12, 5), "id") == [1, 2, 3]
+    assert col(page(df.orderBy("id"), -12, 1), "id") == []
+    assert col(page(df.orderBy("id"), -3, 2), "id") == [8, 9]
+
+
+def test_power_set_and_vectors(spark):
+    df = spark.createDataFrame([(["A", "B"],), (["A"],), ([],), (None,)], "tags array<string>")
+    got = {tuple(r.tags): r._nsubrecs for r in facets.drilldown(df, "tags", key_vector_expansion="POWER_SET").collect()}
+    assert got == {("A",): 2, ("B",): 1, ("A", "B"): 1}
+    v = spark.createDataFrame([([10, 20, 30],), ([40, 90],)], "v array<long>").withColumn("k", F.lit(1))
+    r = facets.drilldown(v, "k", "SUM,MEAN", "v").first()
+    assert (r._sum, r._mean) == (190, 38)
+
+
+def test_sd(spark):
+    df = spark.createDataFrame([(1, 2.0), (1, 4.0), (2, 5.0)], "k int, v double")
+    got = {r.k: r.s for r in facets.drilldown(df, "k", aggregates={"s": facets.aggregator_sd("v", True)}).collect()}
+    assert math.isnan(got[2]) and abs(got[1] - math.sqrt(2)) < 1e-12
+
+
+def test_windows_run_by_rows(spark):
+    df = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "id int, k int")
+    assert sorted(col(df, windows.window_sum("id", None, "k", ["id"]))) == [1, 3, 6]
+    assert sorted(col(df, windows.rank(None, "k"))) == [1, 1, 3]
+    assert col(df, windows.window_count("k").alias("n")) != []
+
+
+def test_strings(spark):
+    df = spark.createDataFrame([("Hello World",)], "s string")
+    one = lambda c: df.select(c).first()[0]
+    assert one(A.string_substring(F.col("s"), -5)) == "World"
+    assert one(A.string_substring(F.col("s"), 50, 2, "?")) == "?"
+    assert one(A.string_truncate(F.col("s"), 8)) == "Hello..."
+    assert one(A.string_slice_regexp(F.col("s"), r"(?<first>\w+) (?<second>\w+)", "second")) == "World"
+    assert one(A.highlight_html(F.col("s"), ["world"])) == 'Hello <span class="keyword">World</span>'
+    assert one(A.snippets(F.col("s"), ["world"], 9)) == ["o [[World]]"]
+    assert one(A.fuzzy_distance(F.col("s"), "Hlelo World")) == 1
+
+
+def test_vectors_and_distances(spark):
+    df = spark.createDataFrame([([1, 2, 3], [0.0, 0.0])], "v array<int>, z array<double>")
+    one = lambda c: df.select(c).first()[0]
+    assert one(A.vector_slice(F.col("v"), -2)) == [2, 3]
+    assert one(A.vector_slice(F.col("v"), 5)) == []
+    assert one(A.vector_find(F.col("v"), 2, "GREATER")) == 3
+    assert one(A.vector_find(F.col("v"), 9)) is None
+    assert one(A.distance_cosine(F.col("z"), F.col("z"))) == 1.0
+
+
+def test_times(spark):
+    df = spark.sql("select timestamp'2024-01-07 13:47:59' as t")
+    one = lambda c: str(df.select(c).first()[0])
+    assert one(times.classify_week(F.col("t"))) == "2024-01-07 00:00:00"
+    assert one(times.classify_minute(F.col("t"), 20)) == "2024-01-07 13:40:00"
+    assert one(times.classify_month(F.col("t"), 5)) == "2024-01-01 00:00:00"
+    assert one(times.format(F.col("t"), "%H:%M at %d")) == "13:47 at 07"
+
+
+def test_geo(spark):
+    df = spark.range(1).select(geo.at("35.0,139.0").alias("a"), geo.at("35.0,140.0").alias("b"))
+    d = [df.select(geo.distance(F.col("a"), F.col("b"), k)).first()[0] for k in ("rectangle", "sphere", "ellipsoid")]
+    assert all(90000 < x < 92000 for x in d)
+    across = geo.in_rectangle(geo.at("0.0,179.9"), geo.at("1.0,179.0"), geo.at("-1.0,-179.0"))
+    assert spark.range(1).select(across).first()[0]
+
+
+def test_lookups(spark):
+    shops = spark.createDataFrame([(1, ["a", "c"]), (2, [])], "id int, tags array<string>")
+    tags = spark.createDataFrame([("a", 10), ("b", 20)], "k string, n int")
+    got = {r.id: r.ns for r in joins.reference_vector(shops, tags, "tags", "k", "n", "ns", "id").collect()}
+    assert got == {1: [10, None], 2: None}
+    with pytest.raises(ValueError):
+        joins.in_records(spark.range(3), spark.range(5).withColumnRenamed("id", "c"), (F.col("id"), "LESS", "c"), most=2)
+
+
+def test_upsert_if_exists(spark):
+    old = spark.createDataFrame([("a", 1), ("b", 5)], "k string, n int")
+    new = spark.createDataFrame([("a", 7, 1), ("a", 8, 2), ("b", 9, 1), ("c", 3, 1)], "k string, n int, at int")
+    got = sorted(map(tuple, io.upsert(old, new, "k", "at", "n < 3").collect()))
+    assert got == [("a", 8), ("b", 5), ("c", 3)]
+
+
+def test_dump_restore_and_formats(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", None)], "k string, n int")
+    said = io.dump({"T": df}, str(tmp_path / "d"))
+    assert said == "CREATE TABLE T (k string, n int) USING parquet"
+    assert sorted(map(tuple, io.restore(spark, str(tmp_path / "d"), "T", df.schema).collect()), key=str) == [("a", 1), ("b", None)]
+    io.to_tsv(df, str(tmp_path / "t"))
+    assert io.load_tsv(spark, str(tmp_path / "t")).count() == 2
+    assert io.load_arrow(spark, io.to_arrow(df)).count() == 2
+    assert sorted(map(tuple, io.fill_defaults(df).collect())) == [("a", 1), ("b", 0)]
+    assert io.load_rows(spark, [["k", "n"], ["x", 1]]).columns == ["k", "n"]
+    assert io.create_similar(df).count() == 0
+
+
+def test_logical_partitions_are_pruned(spark, tmp_path):
+    df = spark.sql("select id, timestamp'2024-01-01' + make_interval(0, 0, 0, id) as ts from range(10)")
+    logical.write(df, str(tmp_path / "l"), "ts")
+    t = logical.read(spark, str(tmp_path / "l"))
+    got = logical.range_filter(t, "ts", "2024-01-03", "2024-01-05", limit=-1, key="id")
+    assert col(got, "id") == [2, 3, 4]
+    assert "PartitionFilters: [isnotnull" in got._jdf.queryExecution().toString() or "shard" in got._jdf.queryExecution().toString()
+    assert logical.shard_list(t).count() == 10
+
+
+def test_postings_search(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x y x"), (2, "y"), (3, None)], "id long, t string")
+    p = index.postings(df, "id", "t")
+    assert {(r.token, r.key): r.positions for r in p.collect()} == {("x", 1): [0, 2], ("y", 1): [1], ("y", 2): [0]}
+    index.write(p, str(tmp_path / "p"))
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    assert [tuple(r) for r in index.search(stored, ["x", "y"]).collect()] == [(1, 3)]
+    assert sorted(tuple(r) for r in index.search(stored, ["x", "y"], every=False).collect()) == [(1, 3), (2, 1)]
+
+
+def test_escalate(spark):
+    df = spark.range(10)
+    assert escalate(df, ["id == 1", "id < 4", "id < 9"], [0, 0]).count() == 1
+    assert escalate(df, ["id == 1", "id < 4", "id < 9"], [1, 3]).count() == 4
+    assert escalate(df, ["id == 1", "id < 4", "id < 9"], [1, 4]).count() == 9
+
+
+def test_tokenizers(spark):
+    df = spark.createDataFrame([("Hello 世界 12!",)], "t string")
+    tokens = lambda name, **k: df.select(X.tokenize(F.col("t"), name, **k)).first()[0]
+    assert tokens("TokenBigram")[:3] == ["hello", "世界", "界"]
+    assert tokens("TokenDelimit") == ["hello", "世界", "12!"]
+    assert tokens("TokenPattern", pattern=r"\d+") == ["12"]
+    assert tokens("TokenNgram", n=3)[0] == "hel"
+
+
+def test_streams(spark, tmp_path):
+    df = spark.sql("select id, timestamp'2024-01-01' + make_interval(0, 0, 0, 0, id) as ts, cast(id % 2 as string) as who from range(6)")
+    df.repartition(2).write.parquet(str(tmp_path / "in"))
+    s = streams.tumbling(streams.read(spark, str(tmp_path / "in"), df), "ts", "2 hours", late="1 hour")
+    q = s.writeStream.format("memory").queryName("tumbled").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted(r.n for r in spark.table("tumbled").collect()) == [2, 2, 2]
+    q = streams.learn(streams.read(spark, str(tmp_path / "in"), df), "who", "id", "id", str(tmp_path / "learnt"), str(tmp_path / "cp"))
+    q.awaitTermination(60)
+    assert streams.learned(spark, str(tmp_path / "learnt")).agg(F.sum("n")).first()[0] == 4
+    assert streams.sessions(df, "ts", "30 minutes", ["who"]).count() == 6
