@@ -89,8 +89,8 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text",
     one = {p: F.when(F.contains("n", F.lit(f" {p} ")), F.lit(label)) for p, label in PHRASES.items()}
     base = base.withColumn("n_base", places.cast("long")).select(
         "doc_id", "text", some.alias("some"), F.greatest(spaces(F.col("n")) - 1, F.lit(0)).alias("n_words"), "n_base",
-        F.when(F.col("n_base") > 0, spaces(F.regexp_extract("n", f"^(.*?) (?=(?:{phrase}) )", 1))).alias("first_word"),
-        F.when(F.col("n_base") > 0, spaces(F.regexp_extract("n", f"^(.*) (?=(?:{phrase}) )", 1))).alias("last_word"),
+        F.when(F.col("n_base") > 0, spaces(F.regexp_extract("n", f"(?s)^(.*?) (?=(?:{phrase}) )", 1))).alias("first_word"),
+        F.when(F.col("n_base") > 0, spaces(F.regexp_extract("n", f"(?s)^(.*) (?=(?:{phrase}) )", 1))).alias("last_word"),
         F.array_sort(F.array_compact(F.array(*one.values()))).alias("base"),
     )
     none = F.array().cast("array<struct<line:int,held:array<int>>>")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracle
+
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -18,7 +20,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import contamination, report
 
-    return report(contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return report(contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))).drop("items", "starts", "ends")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +44,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .blockdedup import repeats
 
-    return repeats(_docs(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256", "n_spans")
+    return repeats(_docs(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +72,4 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op3_decontamination": op3_decontamination, "op4_tiff": op4_tiff, "op5_licenses": op5_licenses, "op6_language": op6_language, "op7_quality": op7_quality, "op8_blocks": op8_blocks, "op9_pii": op9_pii, "op10_suffix": op10_suffix}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op3_decontamination": oracle.DECONTAMINATION, "op5_licenses": oracle.LICENSES, "op8_blocks": oracle.BLOCKS, "op10_suffix": oracle.SUFFIX}
