@@ -62,18 +62,29 @@ def segments(offs: np.ndarray, buf: np.ndarray, length: int = LENGTH, anchor: in
 def intervals(lcp: np.ndarray, least: int):
     """(prefix, left, right, parent's prefix) of each interval of prefixes of least or more; lcp[i] is that of i - 1 and i.
 
-    The stack scan of an enhanced suffix array: an interval closes when a shorter prefix comes.
+    The stack scan of an enhanced suffix array: an interval closes when a shorter prefix comes. Between two
+    places with a shorter prefix than least the stack is empty, so each run of others is scanned by itself, and
+    a run of one prefix throughout is one interval without a scan.
     """
-    out, stack = [], [(0, 0)]
-    for i, x in enumerate([*lcp[1:].tolist(), 0], 1):
-        left = i - 1
-        while x < stack[-1][0]:
-            depth, left = stack.pop()
-            if depth >= least:
-                out.append((depth, left, i - 1, max(x, stack[-1][0])))
-        if x > stack[-1][0]:
-            stack.append((x, left))
-    return np.array(out, np.int64).reshape(-1, 4)
+    lcp = np.concatenate([[0], lcp[1:], [0]]).astype(np.int64)
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], lcp >= least, [False]]).astype(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
+        return np.zeros((0, 4), np.int64)
+    outside = np.maximum(lcp[start - 1], lcp[end])
+    flat = np.maximum.reduceat(lcp, np.stack([start, end], 1).ravel())[::2] == np.minimum.reduceat(lcp, np.stack([start, end], 1).ravel())[::2]
+    out = [np.stack([lcp[start], start - 1, end - 1, outside], axis=1)[flat]]
+    for s, e, o in zip(start[~flat].tolist(), end[~flat].tolist(), outside[~flat].tolist()):
+        rows, stack = [], [(o, s - 1)]
+        for i, x in enumerate([*lcp[s:e].tolist(), o], s):
+            left = i - 1
+            while x < stack[-1][0]:
+                depth, left = stack.pop()
+                rows.append((depth, left, i - 1, max(x, stack[-1][0])))
+            if x > stack[-1][0]:
+                stack.append((x, left))
+        out.append(np.array(rows, np.int64))
+    return np.concatenate(out)
 
 
 def suffix_array(s: np.ndarray, most: int | None = None) -> np.ndarray:
@@ -123,16 +134,28 @@ def maximal_repeats(texts: list[bytes], least: int = LENGTH):
 
 
 def bucket_repeats(columns: list[np.ndarray], size: np.ndarray, doc: np.ndarray, length: int):
-    """Bitmask, by segment, of the windows that a document with a smaller doc_id has too."""
-    text = np.stack(columns, axis=1).astype("<u8").view(np.uint8).reshape(len(size), WIDE)
-    n = size.astype(np.int64) - length + 1
-    seg = np.repeat(np.arange(len(size)), n)
-    at = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
-    mask = np.zeros(len(size), np.uint32)
-    wide = np.concatenate([text, np.zeros_like(text)], axis=1)
-    words = [np.ascontiguousarray(wide[seg[:, None], at[:, None] + np.arange(8 * k, 8 * k + 8)]).view(">u8").ravel().astype(np.uint64) for k in range(WIDE // 8)]
+    """Bitmask, by segment, of the windows that a document with a smaller doc_id has too.
+
+    Equal segments are sorted as one, with the smallest doc_id of theirs.
+    """
+    rows = np.stack([*(c.astype("<u8") for c in columns), size.astype("<u8")], axis=1)
+    _, pick, of = np.unique(rows.view(f"V{8 * rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    first = np.full(len(pick), np.iinfo(np.int64).max)
+    np.minimum.at(first, of, doc)
+    text, own = rows[pick, :-1].copy().view(np.uint8).reshape(len(pick), WIDE), size[pick].astype(np.int64)
+    n = own - length + 1
+    begin = np.cumsum(n) - n
+    seg = np.repeat(np.arange(len(pick)), n)
+    at = np.arange(len(seg)) - begin[seg]
+    flat = np.concatenate([text, np.zeros_like(text)], axis=1).ravel()
+    place = seg * (2 * WIDE) + at
+    words = [np.zeros(len(seg), np.uint64) for _ in range(WIDE // 8)]
+    for k, w in enumerate(words):
+        for j in range(8):
+            w <<= np.uint64(8)
+            w |= flat[place + 8 * k + j]
     order = np.lexsort(words[::-1])
-    room = (size.astype(np.int64)[seg] - at)[order]
+    room = (own[seg] - at)[order]
     lcp, open_ = np.zeros(len(seg), np.int64), np.ones(len(seg), bool)
     for w in words:
         x = w[order]
@@ -142,15 +165,19 @@ def bucket_repeats(columns: list[np.ndarray], size: np.ndarray, doc: np.ndarray,
         open_ &= gap == 0
     lcp[1:] = np.minimum(lcp[1:], np.minimum(room[1:], room[:-1]))
     lcp[0] = 0
-    d = doc[seg][order]
+    least = first[seg]  # of each window the smallest doc_id that has it
     node = intervals(lcp, length)
-    for _, left, right, _ in node[node[:, 3] < length].tolist():  # the widest intervals: all that share the window
-        part = d[left : right + 1]
-        late = left + np.flatnonzero(part > part.min())
-        if len(late):
-            where = order[late]
-            np.bitwise_or.at(mask, seg[where], np.uint32(1) << at[where].astype(np.uint32))
-    return mask
+    top = node[node[:, 3] < length]  # the widest intervals: all that share the window
+    top = top[np.argsort(top[:, 1])]
+    if len(top):
+        many = top[:, 2] - top[:, 1] + 1
+        where = order[np.repeat(top[:, 1] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+        least[where] = np.repeat(np.minimum.reduceat(least[where], np.cumsum(many) - many), many)
+    n = n[of]
+    who = np.repeat(np.arange(len(size)), n)
+    at = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+    late = np.flatnonzero(doc[who] > least[begin[of][who] + at])
+    return np.bincount(who[late], np.exp2(at[late]), len(size)).astype(np.uint32)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
