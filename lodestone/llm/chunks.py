@@ -15,6 +15,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ def firsts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
 
 
 def make(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(chunk, ids, offs, data): the distinct texts, packed and written."""
+    """(chunk, ids, offs, data, size): the distinct texts, packed, compressed and written; size: their bytes."""
 
     def run(batches):
         held, size = [], 0
@@ -43,8 +44,8 @@ def make(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
             offs = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
             data = np.concatenate([b for _, _, b in held])
             parts = [data[offs[i] : offs[i + 1]] for i in order]
-            out = [uuid.uuid4().int >> 65, ids[order].tobytes(), np.concatenate([[0], np.cumsum(lens[order])]).astype(np.int64).tobytes(), np.concatenate(parts).tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([out[0]], pa.int64()), *[pa.array([x], pa.binary()) for x in out[1:]]], ["chunk", "ids", "offs", "data"])
+            out = [uuid.uuid4().int >> 65, ids[order].tobytes(), np.concatenate([[0], np.cumsum(lens[order])]).astype(np.int64).tobytes(), zstandard.compress(np.concatenate(parts).tobytes(), 3)]
+            return pa.RecordBatch.from_arrays([pa.array([out[0]], pa.int64()), *[pa.array([x], pa.binary()) for x in out[1:]], pa.array([len(data)], pa.int64())], ["chunk", "ids", "offs", "data", "size"])
 
         for rows, buf, offs in C.text_slices(batches, CHUNK):
             held.append((rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64), offs, buf.copy()))
@@ -56,11 +57,11 @@ def make(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
             yield flush()
 
     C.small_batches(docs.sparkSession)
-    return C.materialize(firsts(docs, text_col, id_col).mapInArrow(run, "chunk long, ids binary, offs binary, data binary"))
+    return C.materialize(firsts(docs, text_col, id_col).mapInArrow(run, "chunk long, ids binary, offs binary, data binary, size long"))
 
 
 def buckets(chunks: DataFrame) -> int:
-    return max(LEAST_BUCKETS, int((chunks.agg(F.sum(F.octet_length("data"))).first()[0] or 0) // BUCKET))
+    return max(LEAST_BUCKETS, int((chunks.agg(F.sum("size")).first()[0] or 0) // BUCKET))
 
 
 def unpack(batches, *more: str):
@@ -70,7 +71,7 @@ def unpack(batches, *more: str):
         for i in range(b.num_rows):
             c, ids, offs, data, *rest = (b.column(k)[i] for k in at)
             raw = lambda x: np.frombuffer(x.as_buffer(), np.uint8) if x.is_valid and len(x.as_buffer()) else np.zeros(0, np.uint8)
-            yield c.as_py(), raw(ids).view(np.int64), raw(offs).view(np.int64), raw(data), *[x.as_py() for x in rest]
+            yield c.as_py(), raw(ids).view(np.int64), raw(offs).view(np.int64), np.frombuffer(zstandard.decompress(data.as_py()), np.uint8), *[x.as_py() for x in rest]
 
 
 def dealt(n: int, bucket: np.ndarray):
