@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import setjoin as J
 
 SHINGLE, RADIUS, UNTOUCHED, AT_ONCE = 3, 2, 4, 1 << 15
 
@@ -125,19 +126,6 @@ def group_links(values: np.ndarray, radius: int):
     return v[out].view(np.int64), v[lab[out]].view(np.int64)
 
 
-def group_nearest(values: np.ndarray, radius: int):
-    """Each value's nearest smaller value within the radius: (value, nearest); as many rows as values at most."""
-    v = np.unique(values.view(np.uint64))
-    best, of = np.full(len(v), radius + 1), np.zeros(len(v), np.int64)
-    for near, at in BKTree(v).within(v, radius):
-        near = near[near > at]
-        d = hamming(v[near], v[at]).astype(int)
-        up = d < best[near]
-        best[near[up]], of[near[up]] = d[up], at
-    has = best <= radius
-    return v[has].view(np.int64), v[of[has]].view(np.int64)
-
-
 def _masks(radius: int, untouched: int = UNTOUCHED) -> list[int]:
     """The bits that each choice of blocks keeps."""
     m = radius + untouched
@@ -199,7 +187,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 # ---- one document of each group, for filtering a corpus -------------------------------------------
-NEAR_SHINGLE, NEAR_RADIUS, NEAR_UNTOUCHED, SIMILARITY = 2, 6, 3, 0.8
+NEAR_SHINGLE, SIMILARITY = 2, 0.8
 
 
 def similarity(a: str | None, b: str | None, shingle: int) -> float:
@@ -208,14 +196,15 @@ def similarity(a: str | None, b: str | None, shingle: int) -> float:
     return len(x & y) / len(x | y)
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY, radius: int = NEAR_RADIUS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY, radius: int = RADIUS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of docs that stay when one document, that with the smallest doc_id, of each group does.
 
-    Equal word sequences are grouped first. Of the rest, each fingerprint (of 2-word shingles: they
-    move less than longer ones when a word changes) is tied to its nearest smaller one within the
-    radius in every group of the blocks' keys, and to the same fingerprint's first document; a tie
-    counts where the exact Jaccard similarity of the shingles is at least least. Rows without a
-    doc_id stay; rows that repeat a doc_id share its fate; all columns stay as they are.
+    Equal word sequences are grouped first. Of the rest, SimHash (of 2-word shingles: they move less
+    than longer ones when a word changes) and the shingles that texts share propose first links; then
+    every pair that may reach least and that those links leave apart comes from an exact join of the
+    shingle sets, so no pair is missed. A tie counts where the exact Jaccard similarity of the shingles
+    is at least least. Rows without a doc_id stay; rows that repeat a doc_id share its fate; all columns
+    stay as they are.
     """
 
     def run(batches):
@@ -230,14 +219,14 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY, radiu
     prints = C.materialize(src.mapInArrow(run, "doc_id long, fp long, low long, high long"))
     firsts = C.materialize(prints.groupBy("low", "high").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")))
     reps = C.materialize(firsts.groupBy("fp").agg(F.min("first").alias("rep")))
-    near = links(reps.select("fp"), radius, NEAR_UNTOUCHED, group_nearest).distinct()
+    near = links(reps.select("fp"), radius).distinct()
     rep_a, rep_b = (reps.select(F.col("fp").alias(x), F.col("rep").alias(y)) for x, y in (("a", "u"), ("b", "v")))
     ties = near.join(rep_a, "a").join(rep_b, "b").select("u", "v")
     ties = ties.unionByName(firsts.join(reps, "fp").where("first <> rep").select(F.col("first").alias("u"), F.col("rep").alias("v")))
-    ties = C.materialize(ties.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    ends = ties.select(F.col("u").alias("doc_id")).union(ties.select(F.col("v").alias("doc_id"))).distinct()
-    texts = C.materialize(src.dropDuplicates(["doc_id"]).join(ends, "doc_id", "left_semi"))
-    pairs = ties.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
+    ties = ties.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    copies = C.materialize(prints.join(firsts.select("low", "high", "first"), ["low", "high"]).where("doc_id <> first").select("doc_id").distinct())
+    single = src.join(copies, "doc_id", "left_anti")
+    shared, maps = J.shared_prefixes(single, shingle, least), J.bitmaps(single, shingle)
 
     def verify(batches):
         for b in batches:
@@ -245,8 +234,15 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY, radiu
             ok = pa.array([similarity(x.as_py(), y.as_py(), shingle) >= least for x, y in zip(tu, tv)], pa.bool_())
             yield pa.RecordBatch.from_arrays([u.filter(ok), v.filter(ok)], ["a", "b"])
 
-    labels = C.components(pairs.select("u", "v", "tu", "tv").mapInArrow(verify, "a long, b long"))
-    gone = labels.where("node <> label").select(F.col("node").alias("_gone"))
-    copies = prints.join(firsts.select("low", "high", "first"), ["low", "high"]).where("doc_id <> first").select(F.col("doc_id").alias("_gone"))
-    gone = C.materialize(gone.unionByName(copies).distinct())
+    def verified(ties):
+        ties = J.plausible(ties, maps, least)
+        ends = ties.select(F.col("u").alias("doc_id")).union(ties.select(F.col("v").alias("doc_id"))).distinct()
+        texts = C.materialize(single.join(ends, "doc_id", "left_semi").distinct())
+        pairs = ties.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
+        return C.materialize(pairs.select("u", "v", "tu", "tv").mapInArrow(verify, "a long, b long"))
+
+    found = verified(ties.unionByName(J.center_pairs(shared)).distinct())
+    found = found.unionByName(verified(J.all_pairs(shared, C.components(found), least)))
+    gone = C.components(found).where("node <> label").select(F.col("node").alias("_gone"))
+    gone = C.materialize(gone.unionByName(copies.select(F.col("doc_id").alias("_gone"))).distinct())
     return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
