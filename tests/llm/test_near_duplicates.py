@@ -54,3 +54,14 @@ def test_bitmaps_bound_the_difference():
         x, y = (set(r.integers(0, 4000, k).tolist()) for k in (n, m))
         bits = [np.packbits((np.bincount([s % p for s in z], minlength=p) & 1).astype(np.uint8), bitorder="little").tobytes() for z, p in ((x, 512), (y, 2048))]
         assert setjoin.differing(*bits) <= len(x ^ y)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_appended_and_scattered_edits_at_the_border(spark, seed):
+    r, docs = random.Random(seed), {}
+    for g in range(60):
+        words = [f"w{r.randrange(3000)}" for _ in range(r.choice([20, 100, 300]))]
+        docs[10 * g] = " ".join(words)
+        docs[10 * g + 1] = " ".join(words + [f"w{r.randrange(3000)}" for _ in range(len(words) // 5 - 1)])
+        docs[10 * g + 2] = " ".join(changed(r, words, max(1, len(words) // 60)))
+    assert kept(spark, docs) == kept_brute(docs)
