@@ -1,6 +1,7 @@
 """License scans with DataFrame functions alone: phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a line. Templates are token sets; a block meets one where it holds at least the threshold's
+A block is a line, or with lines > 1 also each run of up to so many neighbouring lines, for wrapped
+notices. Templates are token sets; a block meets one where it holds at least the threshold's
 share of its tokens. Tokens are ordered by how often they stand in all documents, rarest first: a block
 that meets a template must hold one of the template's first |T| - need + 1 tokens (prefix filter), have
 need tokens of its own at least (length filter), and from the place of its first common token on as many
@@ -53,10 +54,11 @@ def templates(frequency: dict[str, int], threshold: float = THRESHOLD) -> list[t
     return out
 
 
-def scan(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def scan(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", id_col: str = "doc_id", lines: int = 1) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks) of each row.
 
-    blocks: of each line that meets a template, its number, the template's label and the share.
+    blocks: of each block that meets a template, its first line's number, the template's label and the share.
+    lines: the most neighbouring lines that a block joins; the registered query's SQL knows single lines only.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -75,10 +77,11 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text",
 
     # Lines as sorted ranks of the template tokens they hold; the length filter comes before the join.
     number = F.create_map(*[F.lit(x) for t in vocabulary for x in (t, rank[t])])
-    line = F.transform(
-        F.split("text", "\n"),
-        lambda x, i: F.struct(i.alias("line"), F.array_sort(F.transform(F.array_intersect(F.split(normal(x), " "), words), lambda t: number[t])).alias("held")),
-    )
+    split = F.split("text", "\n")
+    held = lambda x, i: F.struct(i.alias("line"), F.array_sort(F.transform(F.array_intersect(F.split(normal(x), " "), words), lambda t: number[t])).alias("held"))
+    run = lambda k: F.transform(split, lambda _, i: held(F.array_join(F.slice(split, i + 1, F.lit(k)), "\n"), i))
+    joined = [run(k) for k in range(2, lines + 1)]
+    line = F.concat(F.transform(split, held), *joined) if joined else F.transform(split, held)
     some = F.lit(False)  # a row none of whose words is in a prefix has no candidate
     for t in sorted({t for t, *_ in prefix}):
         some = some | F.contains("n", F.lit(f" {t} "))
