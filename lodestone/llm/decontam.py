@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-WINDOW, BLOCK_WORDS, MIN_ITEMS = 8, 1 << 20, 2
+WINDOW, BLOCK_WORDS, MIN_ITEMS, SHORT = 8, 1 << 20, 2, 4
 _SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, starts array<long>, ends array<long>"
 
 
@@ -50,9 +50,9 @@ class Windows:
         self.hash_of = dict(zip(flat, C.spans_hash(buf, at[:-1], at[1:]).tolist())) if flat else {}
         self.vocabulary = np.unique(np.array(list(self.hash_of.values()), np.uint64))
 
-    def keep(self, words: int) -> None:
-        """Only windows of so many words."""
-        which = [i for i, w in enumerate(self.words) if len(w) == words]
+    def keep(self, least: int) -> None:
+        """Only windows of so many words at least."""
+        which = [i for i, w in enumerate(self.words) if len(w) >= least]
         self.text, self.words = [self.text[i] for i in which], [self.words[i] for i in which]
 
     def order(self, count: dict[int, int]) -> "Windows":
@@ -190,7 +190,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, in which no whole window of an item occurs.
 
-    An item of fewer words than a window is too little to tell and isn't looked for.
+    An item of fewer words than a window is one window, as in contamination(), if it has SHORT words at
+    least; one of fewer words is common speech, which clean documents hold too, and isn't looked for.
     """
     spark = docs.sparkSession
     C.small_batches(spark)
@@ -199,7 +200,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
     schema = docs.schema
     for n, items in _blocks(bench, block_words):
         w = Windows([(r.item_id, r.text) for r in items], window)
-        w.keep(window)
+        w.keep(min(SHORT, window))
         w = w.order(_count(src, w.vocabulary))
         shared = spark.sparkContext.broadcast(w)
 
