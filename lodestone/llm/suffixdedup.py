@@ -4,9 +4,9 @@ A 50-byte window's anchor is its least 24-byte string by a hash; a run of window
 segment of at most 76 bytes. Equal windows have equal anchors, so segments are dealt out by their
 anchor's hash, those first that stand alone in the corpus falling away. In a bucket the suffixes of all
 segments are sorted, their common prefixes measured, and a stack scan makes the tree of prefix
-intervals of 50 bytes or more: each interval is a repeat with all its occurrences, maximal where what
-stands before them differs. An occurrence in a document with a greater doc_id than the interval's
-smallest goes.
+intervals of 50 bytes or more. repeats() takes the widest intervals only: an occurrence in a document
+with a greater doc_id than the interval's smallest goes. It emits no maximal repeats (intervals whose
+occurrences have different bytes before them); those come from maximal_repeats(), in one process.
 
 Defined results: a null or empty text has no bytes; a later copy of a whole text of 50 bytes or more
 goes whole; rows with one doc_id don't remove each other's bytes; a null doc_id comes after all
