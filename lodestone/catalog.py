@@ -127,6 +127,12 @@ def agg_sd_unbiased(spark, d):
     return facets.drilldown(got, "l_orderkey", aggregates={"sd": F.when(F.isnan(sd), -1.0).otherwise(F.round(sd, 6))})
 
 
+@query("SELECT l_orderkey, count(*) AS _nsubrecs, coalesce(round(stddev_samp(l_quantity), 6), -1) AS sd FROM lineitem GROUP BY 1")
+def agg_sd_unbiased_all(spark, d):
+    sd = facets.aggregator_sd("l_quantity", unbiased=True)
+    return facets.drilldown(_t(spark, d, "lineitem"), "l_orderkey", aggregates={"sd": F.when(F.isnan(sd), -1.0).otherwise(F.round(sd, 6))})
+
+
 @query("SELECT label, count(*) AS _nsubrecs, round(sum(list_sum(list_transform(embedding, lambda x: x::DOUBLE))) / sum(len(embedding)), 6) AS _mean FROM embeddings GROUP BY 1")
 def facet_vector_target(spark, d):
     e = _t(spark, d, "embeddings").withColumn("v", F.transform("embedding", lambda x: x.cast("double")))
