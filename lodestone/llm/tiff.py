@@ -7,8 +7,8 @@ LZW strips, middling ones as PackBits strips, larger ones as deflated tiles with
 layout is in use; equal bytes give equal files.
 
 Defined results: a null or empty text has an empty payload, padded to 64 zero bytes; repeated rows each
-get a row; an empty table gives an empty result; a null or damaged file gives no page, not a failure, in
-pages(); other columns are ignored.
+get a row; an empty table gives an empty result; a null file or one without a directory gives no page,
+not a failure, in pages(), and a page that can't be read has a row of nulls; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -152,7 +152,8 @@ def _inflate(data: bytes, most: int) -> bytes:
     return zlib.decompressobj().decompress(data, most)
 
 
-def _directory(raw: bytes, order: str, at: int) -> tuple[dict[int, list], int]:
+def _directory(raw: bytes, order: str, at: int) -> tuple[dict[int, list] | None, int]:
+    """The tags, None where their values lie beyond the end, and the place of the next directory."""
     if at + 2 > len(raw):
         raise Damaged("directory beyond the end")
     n = struct.unpack_from(order + "H", raw, at)[0]
@@ -164,14 +165,15 @@ def _directory(raw: bytes, order: str, at: int) -> tuple[dict[int, list], int]:
         size = _SIZE.get(kind, 1) * count
         where = at + 10 + 12 * k if size <= 4 else struct.unpack_from(order + "I", raw, at + 10 + 12 * k)[0]
         if where + size > len(raw):
-            raise Damaged("values beyond the end")
+            tags = None
+            break
         if kind in _CODE:
             tags[tag] = list(struct.unpack_from(f"{order}{count}{_CODE[kind]}", raw, where))
     return tags, struct.unpack_from(order + "I", raw, at + 2 + 12 * n)[0]
 
 
-def read(raw: bytes):
-    """The pages of a file, in the order of its directories."""
+def _directories(raw: bytes):
+    """(byte order, tags) of each directory of a file, in their order."""
     order = {b"II": "<", b"MM": ">"}.get(raw[:2])
     if not order or len(raw) < 8 or struct.unpack_from(order + "H", raw, 2)[0] != 42:
         raise Damaged("no TIFF header")
@@ -181,10 +183,18 @@ def read(raw: bytes):
             raise Damaged("directories in a circle")
         seen.add(at)
         tags, at = _directory(raw, order, at)
+        yield order, tags
+
+
+def read(raw: bytes):
+    """The pages of a file, in the order of its directories."""
+    for order, tags in _directories(raw):
         yield _page(raw, order, tags)
 
 
 def _page(raw: bytes, order: str, tags: dict[int, list]) -> Page:
+    if tags is None:
+        raise Damaged("values beyond the end")
     one = lambda t, d: tags.get(t, [d])[0]
     width, height, samples, bits = one(256, 0), one(257, 0), one(277, 1), one(258, 1)
     how, predictor, planar = one(259, NONE), one(317, 1), one(284, 1)
@@ -277,16 +287,20 @@ def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
 
 
 def pages(media: DataFrame, media_col: str = "media", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, page, width, height, samples, bits, compression, predictor, pixels): a row for each page that can be read."""
+    """(doc_id, page, width, height, samples, bits, compression, predictor, pixels): a row for each page, null but for its number where it can't be read."""
 
     def run(batches):
         for b in batches:
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 rows = []
                 try:
-                    for k, p in enumerate(read(raw or b"")):
-                        rows.append((doc, k, *p[:6], p.pixels.tobytes()))
-                except (Damaged, zlib.error, struct.error):
+                    for k, (order, tags) in enumerate(_directories(raw or b"")):
+                        try:
+                            p = _page(raw, order, tags)
+                            rows.append((doc, k, *p[:6], p.pixels.tobytes()))
+                        except _UNREADABLE:
+                            rows.append((doc, k, *[None] * 7))
+                except (Damaged, struct.error):  # the walk itself can't go on
                     pass
                 if rows:
                     yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in list(zip(*rows))[:8]], pa.array([r[8] for r in rows], pa.binary())], _PAGE)
@@ -295,6 +309,7 @@ def pages(media: DataFrame, media_col: str = "media", id_col: str = "doc_id") ->
     return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).cast("binary").alias("media")).mapInArrow(run, ", ".join(f"{x} long" for x in _PAGE[:-1]) + ", pixels binary")
 
 
+_UNREADABLE = (Damaged, zlib.error, struct.error, ValueError, ArithmeticError, LookupError, MemoryError)
 _PAGE = ["doc_id", "page", "width", "height", "samples", "bits", "compression", "predictor", "pixels"]
 _DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages long"
 
