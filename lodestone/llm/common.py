@@ -1,7 +1,7 @@
 """What the training-data operators share: stable storage, Arrow text slices, word hashing and components.
 
 Every pass over texts works on the UTF-8 bytes of an Arrow column, a slice of about a megabyte at a
-time, so memory doesn't depend on the rows in a batch. A null text counts as an empty one.
+time, so memory doesn't depend on the rows in a batch; a longer document is one slice. A null text counts as an empty one.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,36 +20,81 @@ SLICE = 1 << 20  # bytes of text that numpy handles at once (a longer document i
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is configured."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset.
+
+    Without that setting a local session takes a temporary folder, any other the user's home in the
+    default file system, which must be a shared one.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
+        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+            path = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
+        else:
+            fs = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.get(spark.sparkContext._jsc.hadoopConfiguration())
+            if fs.getUri().getScheme() == "file":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            path = f"{fs.getHomeDirectory().toString()}/lodestone"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+#: In force while an intermediate result is written: small Arrow batches, and shuffle files that go with their query.
+_WHILE_WRITING = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """The session's settings with values, as they were before once the block ends."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, computed once."""
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, computed once.
+
+    The files go with forget(), or at the end of the session.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    jvm.System.gc()  # lets Spark's cleaner drop the shuffle files behind what was just written
-    return spark.read.schema(df.schema).parquet(path)
+    with settings(spark, _WHILE_WRITING):
+        df.write.parquet(path)
+    p, fs = _file_system(spark, path)
+    fs.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lodestone_path = path
+    return out
 
 
-def small_batches(spark: SparkSession) -> None:
-    """At most 1000 rows or 8 MB in an Arrow batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 1000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+def forget(*frames: DataFrame) -> None:
+    """Delete the files of materialized frames that no later step reads."""
+    for df in frames:
+        if path := getattr(df, "_lodestone_path", None):
+            p, fs = _file_system(df.sparkSession, path)
+            fs.delete(p, True)
+
+
+def parts(spark: SparkSession, size: int, each: int = 32 << 20) -> int:
+    """How many partitions a shuffle of about size bytes needs: they grow with the data."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
 
 
 def source(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id and text alone, so that further columns can't clash; Arrow batches are kept small."""
-    small_batches(docs.sparkSession)
+    """doc_id and text alone, so that further columns can't clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -163,26 +209,43 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         lab = new
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+HOT_ROWS, MOST_HOT = 1 << 10, 1 << 13
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """left joined to right (one row a key) on key, without a task that has one key's rows alone.
+
+    n: right's column with the number of left's rows of the key; total: left's rows. A key is hot from
+    max(HOT_ROWS, total / MOST_HOT) rows on, so MOST_HOT keys are hot at most: they are broadcast, the
+    others joined by a shuffle. n isn't in the result.
+    """
+    hot = F.col(n) >= max(HOT_ROWS, -(-total // MOST_HOT))
+    few, rest = right.where(hot).drop(n), right.where(~hot).drop(n)
+    near = left.join(F.broadcast(few), key)
+    far = left.join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key)
+    return near.unionByName(far)
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node with a link, label the smallest node it reaches.
 
     edges: two long columns, a and b. Alternates the large-star and small-star steps, each a
-    group-by and a join, until the links no longer change; no link reaches the driver.
+    group-by and a join, until the links no longer change; no link reaches the driver, and a node
+    of very many links is joined by a broadcast of the few such nodes.
     """
     edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(mark) == before or not mark[0]:
             break
-        before = tuple(mark)
+        before, last = tuple(mark), edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = materialize(spread_join(both.where("v > u"), least, "u", "n", 2 * mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, low, "u", "n", 2 * mark[0]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = materialize(small.where("u <> v").distinct())
-    else:
-        raise RuntimeError("components: the links still change")
+        forget(last, large)
     pairs = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return pairs.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

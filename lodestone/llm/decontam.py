@@ -194,7 +194,6 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
     least; one of fewer words is common speech, which clean documents hold too, and isn't looked for.
     """
     spark = docs.sparkSession
-    C.small_batches(spark)
     src = docs.select(F.col(text_col).cast("string").alias("text"))
     bench = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
     schema = docs.schema

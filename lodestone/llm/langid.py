@@ -167,7 +167,6 @@ def identify(docs: DataFrame, parser: Parser, text_col: str = "text", id_col: st
 
 def keep_identified(docs: DataFrame, parser: Parser, text_col: str = "text") -> DataFrame:
     """The rows of docs whose text has a language (not und), all columns as they are, in one pass."""
-    C.small_batches(docs.sparkSession)
     known = bool(parser.langs)
     letters = C._table(lambda c: c < 128 and chr(c).isalpha())
 

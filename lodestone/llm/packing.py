@@ -28,7 +28,6 @@ _OUT = "doc_id long, piece long, start long, n_words long, bin_id long, bin_star
 
 def measure(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """(doc_id, source, n, cluster) of each row; the texts go no further."""
-    C.small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"))
 
     def run(batches):

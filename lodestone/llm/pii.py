@@ -320,7 +320,6 @@ def report(found: DataFrame) -> DataFrame:
 def mask(docs: DataFrame, field: Field | None = None, text_col: str = "text", tag: str = "[{}]") -> DataFrame:
     """docs with every span of the text replaced by its kind; all columns stay, row by row."""
     shared = docs.sparkSession.sparkContext.broadcast(train() if field is None else field)
-    C.small_batches(docs.sparkSession)
     texts = docs.select("*")
     schema = docs.schema
 

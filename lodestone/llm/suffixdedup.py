@@ -4,13 +4,17 @@ A 50-byte window's anchor is its least 24-byte string by a hash; a run of window
 segment of at most 76 bytes. Equal windows have equal anchors, so segments are dealt out by their
 anchor's hash, those first that stand alone in the corpus falling away. In a bucket the suffixes of all
 segments are sorted, their common prefixes measured, and a stack scan makes the tree of prefix
-intervals of 50 bytes or more. repeats() takes the widest intervals only: an occurrence in a document
-with a greater doc_id than the interval's smallest goes. It emits no maximal repeats (intervals whose
-occurrences have different bytes before them); those come from maximal_repeats(), in one process.
+intervals of 50 bytes or more; those with different bytes to the left of their occurrences are the
+maximal repeats, each with all its occurrences. An occurrence in a document with a greater doc_id than
+its group's smallest goes.
 
-Defined results: a null or empty text has no bytes; a later copy of a whole text of 50 bytes or more
-goes whole; rows with one doc_id don't remove each other's bytes; a null doc_id comes after all
-others; matches never cross documents; an empty table gives an empty result; other columns are ignored.
+An anchor that comes more than HOT times is not sorted in one bucket: its windows are dealt out by
+128-bit hashes of their own, each distinct one once for each chunk. Later copies of a whole text of 50
+bytes or more go whole, by a hash of 128 bits, and send nothing.
+
+Defined results: a null or empty text has no bytes; rows with one doc_id don't remove each other's
+bytes; a null doc_id comes after all others; matches never cross documents; an empty table gives an
+empty result; other columns are ignored; a very long text is one chunk, whose memory grows with it.
 """
 
 from __future__ import annotations
@@ -18,45 +22,25 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import chunks as K
 from . import common as C
 
-LENGTH, ANCHOR, WIDE = 50, 24, 80
-
-
-def _windows(x: np.ndarray, k: int, how) -> np.ndarray:
-    """how (minimum, for one) over each k entries in a row, by doubling."""
-    size, step = 1, x
-    while 2 * size <= k:
-        step = how(step[:-size], step[size:])
-        size *= 2
-    return how(step[: len(x) - k + 1], step[k - size : k - size + len(x) - k + 1])
+LENGTH, ANCHOR, WIDE, HOT = 50, 24, 80, 1 << 12
 
 
-def segments(offs: np.ndarray, buf: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
-    """(first window, last window, anchor's hash) of each run of windows with one anchor."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    n = len(buf)
+def anchors(offs: np.ndarray, buf: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
+    """(hash of each anchor-long string, runs' first and last window and anchor's place, all as in K.anchored)."""
+    n, none = len(buf), np.zeros(0, np.int64)
     if n < length:
-        return none
+        return np.zeros(0, np.uint64), none, none, none
     up, down = C._powers(C._R, n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(C._BYTE[buf] * up[:n], out=total[1:])
     g = C.mix((total[anchor:] - total[:-anchor]) * down[: n - anchor + 1])
-    bits = np.uint64(int(n).bit_length())
-    key = ((g >> bits) << bits) | np.arange(len(g), dtype=np.uint64)
-    at = (_windows(key, length - anchor + 1, np.minimum) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    inside = np.repeat(offs[1:], np.diff(offs))[: len(at)] - np.arange(len(at)) >= length
-    v = np.flatnonzero(inside)
-    if not len(v):
-        return none
-    a = at[v]
-    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (v[1:] != v[:-1] + 1)]))
-    end = np.concatenate([new[1:], [len(v)]]) - 1
-    return v[new], v[end], g[a[new]]
+    ok = np.repeat(offs[1:], np.diff(offs))[: n - length + 1] - np.arange(n - length + 1) >= length
+    return g, *K.anchored(g, np.ones(len(g), bool), ok, length - anchor + 1)
 
 
 def intervals(lcp: np.ndarray, least: int):
@@ -133,20 +117,19 @@ def maximal_repeats(texts: list[bytes], least: int = LENGTH):
     return out
 
 
-def bucket_repeats(columns: list[np.ndarray], size: np.ndarray, doc: np.ndarray, length: int):
-    """Bitmask, by segment, of the windows that a document with a smaller doc_id has too.
+def groups(columns: list[np.ndarray], own: np.ndarray, before: np.ndarray, length: int):
+    """(order of the suffixes, their segment and place, nodes) of distinct segments of one bucket.
 
-    Equal segments are sorted as one, with the smallest doc_id of theirs.
+    A node (prefix, left, right) is a maximal repeat of these segments: the suffixes left to right of the
+    order, all its occurrences, share prefix bytes and no more, and have different bytes before them. A
+    segment's first suffix goes on beyond it to the left, where other anchors' buckets see it, so its
+    occurrences count as different there.
     """
-    rows = np.stack([*(c.astype("<u8") for c in columns), size.astype("<u8")], axis=1)
-    _, pick, of = np.unique(rows.view(f"V{8 * rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
-    first = np.full(len(pick), np.iinfo(np.int64).max)
-    np.minimum.at(first, of, doc)
-    text, own = rows[pick, :-1].copy().view(np.uint8).reshape(len(pick), WIDE), size[pick].astype(np.int64)
     n = own - length + 1
     begin = np.cumsum(n) - n
-    seg = np.repeat(np.arange(len(pick)), n)
+    seg = np.repeat(np.arange(len(own)), n)
     at = np.arange(len(seg)) - begin[seg]
+    text = np.stack([c.astype("<u8") for c in columns], axis=1).view(np.uint8).reshape(len(own), WIDE)
     flat = np.concatenate([text, np.zeros_like(text)], axis=1).ravel()
     place = seg * (2 * WIDE) + at
     words = [np.zeros(len(seg), np.uint64) for _ in range(WIDE // 8)]
@@ -165,79 +148,127 @@ def bucket_repeats(columns: list[np.ndarray], size: np.ndarray, doc: np.ndarray,
         open_ &= gap == 0
     lcp[1:] = np.minimum(lcp[1:], np.minimum(room[1:], room[:-1]))
     lcp[0] = 0
+    node = intervals(lcp, length)[:, :3]
+    previous = np.where(at > 0, flat[np.maximum(place - 1, 0)].astype(np.int64), -1 - before[seg])[order]
+    edge = np.concatenate([[0], np.cumsum(at[order] == 0)])
+    change = np.concatenate([[0], np.cumsum(previous[1:] != previous[:-1])])
+    diverse = (change[node[:, 2]] > change[node[:, 1]]) | (edge[node[:, 2] + 1] > edge[node[:, 1]])
+    return order, seg, at, begin, node[diverse]
+
+
+def bucket_repeats(columns: list[np.ndarray], size: np.ndarray, before: np.ndarray, doc: np.ndarray, length: int):
+    """Bitmask, by segment, of the windows that a document with a smaller doc_id has too.
+
+    Equal segments are sorted as one, with the smallest doc_id of theirs; then each occurrence of a maximal
+    repeat in a document with a greater doc_id than its group's smallest is covered.
+    """
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    rows = np.stack([*(c.astype("<u8") for c in columns), (size * 512 + before).astype("<u8")], axis=1)
+    _, pick, of = np.unique(rows.view(f"V{8 * rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    first = np.full(len(pick), np.iinfo(np.int64).max)
+    np.minimum.at(first, of, doc)
+    order, seg, at, begin, node = groups([c[pick] for c in columns], size[pick], before[pick], length)
     least = first[seg]  # of each window the smallest doc_id that has it
-    node = intervals(lcp, length)
-    top = node[node[:, 3] < length]  # the widest intervals: all that share the window
-    top = top[np.argsort(top[:, 1])]
-    if len(top):
-        many = top[:, 2] - top[:, 1] + 1
-        where = order[np.repeat(top[:, 1] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
-        least[where] = np.repeat(np.minimum.reduceat(least[where], np.cumsum(many) - many), many)
-    n = n[of]
+    if len(node):
+        many = node[:, 2] - node[:, 1] + 1
+        where = order[np.repeat(node[:, 1] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+        low = np.repeat(np.minimum.reduceat(first[seg[where]], np.cumsum(many) - many), many)
+        span = np.repeat(node[:, 0] - length + 1, many)  # the windows of each occurrence
+        np.minimum.at(least, np.repeat(where - (np.cumsum(span) - span), span) + np.arange(int(span.sum())), np.repeat(low, span))
+    n = size - length + 1
     who = np.repeat(np.arange(len(size)), n)
     at = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
     late = np.flatnonzero(doc[who] > least[begin[of][who] + at])
-    return np.bincount(who[late], np.exp2(at[late]), len(size)).astype(np.uint32)
+    mask = np.zeros(len(size), np.uint64)
+    np.bitwise_or.at(mask, who[late], np.uint64(1) << at[late].astype(np.uint64))
+    return mask
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends): spans in bytes."""
-    assert length - anchor < 32 and 2 * length - anchor <= WIDE
+def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends) of each row: spans in bytes."""
+    assert length - anchor < 63 and 2 * length - anchor <= WIDE
     chunks = K.make(docs, text_col, id_col)
-    n = K.buckets(chunks)
-
-    def anchors(ids, offs, buf):
-        _, _, g = segments(offs, buf, length, anchor)
-        return (g >> np.uint64(32)).astype(np.int64) % n, [g.astype(np.uint32), np.arange(len(g), dtype=np.uint32)]
-
-    def shared(sender, arrays):
-        g, run = arrays
-        s = np.sort(g)
-        which = np.flatnonzero(np.searchsorted(s, g, "right") - np.searchsorted(s, g) > 1)
-        return which, [run[which]]
-
-    hits = K.to_buckets(chunks, anchors, shared, n)
-
-    def send(ids, offs, buf, answers):
-        got = K.joined(answers)
-        if got is None:
-            return np.zeros(0, np.int64), []
-        first, last, g = segments(offs, buf, length, anchor)
-        run = np.sort(got[0]).astype(np.int64)
-        s, size = first[run], last[run] - first[run] + length
-        wide = np.concatenate([buf, np.zeros(WIDE, np.uint8)])[s[:, None] + np.arange(WIDE)]
-        wide[np.arange(WIDE) >= size[:, None]] = 0
-        cols = np.ascontiguousarray(wide).view("<u8")
-        return (g[run] >> np.uint64(32)).astype(np.int64) % n, [*[cols[:, k].copy() for k in range(WIDE // 8)], size.astype(np.uint8), ids[C.owner(s, offs)], run.astype(np.uint32)]
-
-    def solve(sender, arrays):
-        *cols, size, doc, run = arrays
-        mask = bucket_repeats(cols, size, doc, length)
+    n = chunks.buckets
+
+    def probe(ids, offs, buf, _):
+        g, first, _, a = anchors(offs, buf, length, anchor)
+        k, times, several = K.counted(K.key(g[a], n), ids[C.owner(first, offs)])
+        return [(K.bucket_of(k), [K.inside(k), several.astype(np.uint8), times]), K.copies_sent(ids, offs, buf, np.diff(offs) >= length, n)]
+
+    def shared(kinds):
+        sender, (h, several, times) = kinds[0]
+        order, at, group = K.of_keys(kinds[0])
+        if not len(at):
+            return [(sender, [h, several]), K.least_told(kinds[1])]
+        there = (np.maximum.reduceat(several[order], at) > 0) | (np.diff(np.append(at, len(order))) > 1)
+        which = np.flatnonzero(there[group])
+        return [(sender[order][which], [h[order][which].astype(np.uint32), (np.add.reduceat(times[order], at) > hot)[group[which]].astype(np.uint8)]), K.least_told(kinds[1])]
+
+    hits = K.exchange(chunks, probe, shared)
+
+    def second_hash(buf):
+        return C.windows_hash(C.mix(C._BYTE[buf]), length)
+
+    def first_hash(buf):
+        return C.windows_hash(C._BYTE[buf], length)
+
+    def segments(ids, offs, buf, answers):
+        told = K.joined(answers)
+        copy = K.copies(told and told[1], ids, offs, buf, np.diff(offs) >= length)
+        gone = np.flatnonzero(copy)
+        g, first, last, a = anchors(offs, buf, length, anchor)
+        doc = C.owner(first, offs)
+        keep, very = np.zeros(len(first), bool), np.zeros(len(first), bool)
+        if told:
+            known = K.whole(told[0][0], told[0][1][0])
+            order = np.argsort(known)
+            at = K.among(K.key(g[a], n), known[order])
+            keep = (at >= 0) & ~copy[doc]
+            very = keep & (told[0][1][1][order][at] > 0)
+        cold = keep & ~very
+        v0, v1, c, d = first[cold], last[cold], a[cold], doc[cold]
+        before = np.where(v0 > offs[d], buf[np.maximum(v0 - 1, 0)].astype(np.int64), 256)
+        hot_at = np.concatenate([np.arange(i, j + 1) for i, j in zip(first[very].tolist(), last[very].tolist())]) if very.any() else np.zeros(0, np.int64)
+        h1, h2 = (first_hash(buf)[hot_at], second_hash(buf)[hot_at]) if len(hot_at) else [np.zeros(0, np.uint64)] * 2
+        return [
+            (K.bucket_of(K.key(g[c], n)), [v0.astype(np.uint32), (v1 - v0 + length).astype(np.uint8), before.astype(np.uint16), ids[d], K.Pieces(v0, v1 + length, buf.tobytes())]),
+            K.least_sent(h1, h2, ids[C.owner(hot_at, offs)], n),
+            (gone % n, [gone.astype(np.uint32)]),
+        ]
+
+    def solve(kinds):
+        sender, (v0, size, before, ids, said) = kinds[0]
+        size = size.astype(np.int64)
+        wide = np.zeros((len(size), WIDE), np.uint8)
+        wide[np.arange(WIDE) < size[:, None]] = np.frombuffer(said, np.uint8)
+        mask = bucket_repeats(list(wide.view("<u8").T), size, before.astype(np.int64), ids, length)
         which = np.flatnonzero(mask)
-        return which, [run[which], mask[which]]
+        return [(sender[which], [v0[which], mask[which]]), K.least_told(kinds[1]), kinds[2]]
 
-    found = K.to_buckets(K.with_answers(chunks, hits), send, solve, n, "answers")
+    found = K.exchange(chunks, segments, solve, hits)
+    C.forget(hits)
 
     def finish(batches):
-        for _, ids, offs, buf, answers in K.unpack(batches, "answers"):
-            got, gone = K.joined(answers), np.zeros(len(buf), bool)
-            if got is not None:
-                first, _, _ = segments(offs, buf, length, anchor)
-                run, mask = got
-                start = first[run.astype(np.int64)]
-                bit = (mask[:, None] >> np.arange(32, dtype=np.uint32)) & np.uint32(1)
-                e, b = np.nonzero(bit)
-                gone = K.cover(start[e] + b, length, len(buf))
+        for _, ids, offs, buf, answers in K.unpack(batches, True):
+            gone = np.zeros(len(buf), bool)
+            if told := K.joined(answers):
+                start = K.bits(*told[0][1])
+                if len(told[1][1][0]):
+                    w = first_hash(buf)
+                    at = np.flatnonzero(K.among(w, np.sort(told[1][1][0])) >= 0)
+                    d = C.owner(at, offs)
+                    at, d = at[at + length <= offs[d + 1]], d[at + length <= offs[d + 1]]
+                    start = np.concatenate([start, at[K.least_of(told[1], w[at], second_hash(buf)[at]) < ids[d]]])
+                gone = K.cover(start, length, len(buf))
+                for d in told[2][1][0].tolist():
+                    gone[offs[d] : offs[d + 1]] = True
             raw, rows = buf.tobytes(), []
             for d, (s, e) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
                 mine, text = gone[s:e], raw[s:e]
                 starts, ends = K.removed_spans(mine)
                 kept = buf[s:e][~mine].tobytes() if len(starts) else text
-                rows.append((hashlib.md5(text).hexdigest(), int(ids[d]), e - s, int(mine.sum()), hashlib.sha256(kept).hexdigest(), starts.tolist(), ends.tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _TYPES)], ["md5", "first", "n_bytes", "n_removed", "kept_sha256", "starts", "ends"])
-
-    done = K.with_answers(chunks, found).mapInArrow(finish, "md5 string, first long, n_bytes long, n_removed long, kept_sha256 string, starts array<long>, ends array<long>")
-    return K.to_rows(docs, done, "n_bytes", length, text_col, id_col)
-
+                rows.append((int(ids[d]), e - s, int(mine.sum()), len(starts), hashlib.sha256(kept).hexdigest(), starts.tolist(), ends.tolist()))
+            yield K.report(rows, "n_bytes")
 
-_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    return K.with_answers(chunks, found).mapInArrow(finish, K.found_schema("n_bytes"))

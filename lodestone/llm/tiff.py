@@ -305,7 +305,6 @@ def pages(media: DataFrame, media_col: str = "media", id_col: str = "doc_id") ->
                 if rows:
                     yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in list(zip(*rows))[:8]], pa.array([r[8] for r in rows], pa.binary())], _PAGE)
 
-    C.small_batches(media.sparkSession)
     return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).cast("binary").alias("media")).mapInArrow(run, ", ".join(f"{x} long" for x in _PAGE[:-1]) + ", pixels binary")
 
 
