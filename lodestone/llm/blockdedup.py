@@ -186,4 +186,6 @@ def repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, text_col: str
                 rows.append((int(ids[d]), b - a, int(mine.sum()), len(starts), hashlib.sha256(kept).hexdigest(), starts.tolist(), ends.tolist()))
             yield K.report(rows, "n_words")
 
-    return K.with_answers(chunks, found).mapInArrow(finish, K.found_schema("n_words"))
+    out = C.materialize(K.with_answers(chunks, found).mapInArrow(finish, K.found_schema("n_words")))
+    C.forget(chunks.rows, found)
+    return out

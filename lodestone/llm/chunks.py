@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-LEAST, MOST, LEAST_BUCKETS = 1 << 21, 1 << 23, 512  # bytes of text of a chunk; buckets
+LEAST, MOST, LEAST_BUCKETS = 1 << 21, 1 << 23, 256  # bytes of text of a chunk; buckets
 NO_ID = (1 << 63) - 1  # stands for a null doc_id, which comes after all others
 BITS = 28  # of a hash inside its bucket
 _U = np.uint64
@@ -124,6 +124,7 @@ def heads(*columns: np.ndarray) -> np.ndarray:
 
 # ---- packing ----------------------------------------------------------------------------------------
 _PLAIN, _SORTED, _SIGNED = 0, 1, 2
+_SHORTER, _LONGER = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def pack(kinds) -> bytes:
@@ -144,11 +145,11 @@ def pack(kinds) -> bytes:
             out += [bytes([how, width]), a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()]
         if blob is not None:
             out.append(blob)
-    return zstandard.compress(b"".join(out), 1)
+    return _SHORTER.compress(b"".join(out))
 
 
 def unpacked(raw: bytes) -> list[list]:
-    raw = zstandard.decompress(raw)
+    raw = _LONGER.decompress(raw)
     at, kinds = 1, []
     for _ in range(raw[0]):
         count, n, blob = np.frombuffer(raw, np.int64, 3, at).tolist()
@@ -252,7 +253,7 @@ def with_answers(chunks: Chunks, answers: DataFrame) -> DataFrame:
 # ---- what operators on repeats share ------------------------------------------------------------------
 def counted(k: np.ndarray, ids: np.ndarray, *flags: np.ndarray):
     """Of each distinct key: (key, how often, whether under several ids, flags by or)."""
-    order = np.argsort(k, kind="stable")
+    order = np.argsort(k)
     at = heads(k[order])
     if not len(at):
         return k, np.zeros(0, np.uint64), np.zeros(0, bool), *[f[:0] for f in flags]
@@ -262,7 +263,7 @@ def counted(k: np.ndarray, ids: np.ndarray, *flags: np.ndarray):
 
 def of_keys(kind):
     """(order, head of each group, group of each sorted entry) of the entries' first array."""
-    order = np.argsort(kind[1][0], kind="stable")
+    order = np.argsort(kind[1][0])
     at = heads(kind[1][0][order])
     group = np.zeros(len(order), np.int64)
     group[at[1:]] = 1

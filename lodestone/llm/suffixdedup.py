@@ -271,4 +271,6 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: in
                 rows.append((int(ids[d]), e - s, int(mine.sum()), len(starts), hashlib.sha256(kept).hexdigest(), starts.tolist(), ends.tolist()))
             yield K.report(rows, "n_bytes")
 
-    return K.with_answers(chunks, found).mapInArrow(finish, K.found_schema("n_bytes"))
+    out = C.materialize(K.with_answers(chunks, found).mapInArrow(finish, K.found_schema("n_bytes")))
+    C.forget(chunks.rows, found)
+    return out
