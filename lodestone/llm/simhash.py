@@ -13,7 +13,7 @@ gives an empty result; other columns of the input are ignored.
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, count
 from math import comb
 
 import numpy as np
@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import chunks as K
 from . import common as C
 from . import setjoin as J
 
@@ -139,7 +140,7 @@ def links(fps: DataFrame, radius: int = RADIUS, untouched: int = UNTOUCHED, solv
     masks = [x - (1 << 64) if x >= 1 << 63 else x for x in _masks(radius, untouched)]
     assert len(masks) == comb(radius + untouched, untouched)
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("choice", "key"))
-    n = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 12)
+    n = C.parts(fps.sparkSession, 32 * len(masks) * fps.count())
 
     def run(batches):
         rest = None
@@ -176,13 +177,13 @@ def links(fps: DataFrame, radius: int = RADIUS, untouched: int = UNTOUCHED, solv
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row; component_id: the smallest doc_id reachable over links."""
     prints = C.materialize(fingerprints(docs, shingle, text_col, id_col))
-    reps = C.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    reps = C.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     labels = C.materialize(C.components(links(reps.select("fp"), radius)))
     member = labels.select(F.col("node").alias("fp"), "label").join(reps, "fp")
-    low = member.groupBy("label").agg(F.min("rep").alias("low"))
-    linked = member.select("fp", "label").join(low, "label").select("fp", "low")
-    of = reps.join(linked, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"))
-    out = prints.join(of, "fp")
+    low = member.groupBy("label").agg(F.min("rep").alias("low"), F.count("*").alias("m"))
+    linked = C.spread_join(member.select("fp", "label"), low, "label", "m", labels.count()).select("fp", "low")
+    of = reps.join(linked, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"), "n")
+    out = C.spread_join(prints, of, "fp", "n", prints.count())
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -190,59 +191,52 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 NEAR_SHINGLE, SIMILARITY = 2, 0.8
 
 
-def similarity(a: str | None, b: str | None, shingle: int) -> float:
-    """Jaccard similarity of the sets of word shingles, ASCII letters lower-cased; 1 for two texts without words."""
-    x, y = ({b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} for w in ((t or "").encode().lower().split() for t in (a, b)))
-    return len(x & y) / len(x | y)
-
-
 def keep_one(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY, radius: int = RADIUS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of docs that stay when one document, that with the smallest doc_id, of each group does.
 
-    Equal word sequences are grouped first. Of the rest, SimHash (of 2-word shingles: they move less
-    than longer ones when a word changes) and the shingles that texts share propose first links; then
-    every pair that may reach least and that those links leave apart comes from an exact join of the
-    shingle sets, so no pair is missed. A tie counts where the exact Jaccard similarity of the shingles
-    is at least least. Rows without a doc_id stay; rows that repeat a doc_id share its fate; all columns
-    stay as they are.
+    Equal word sequences (ASCII letters lower-cased) are grouped first. Of the rest, SimHash (of 2-word
+    shingles: they move less than longer ones when a word changes) and the shingles that texts share propose
+    first links; then every pair that may reach least and that those links leave apart comes from an exact
+    join of the shingle sets, so no pair is missed. A tie counts where the Jaccard similarity of the sets of
+    shingles (64-bit hashes) is at least least; texts without words are equal, one of fewer words than a
+    shingle is one shingle. Rows without a doc_id stay; rows that repeat a doc_id share its fate; an empty
+    table stays empty; all columns stay as they are, whatever their names.
     """
+    chunks = K.make(docs.where(F.col(id_col).isNotNull()), text_col, id_col)
 
     def run(batches):
-        for rows, buf, offs in C.text_slices(batches):
+        for chunk, ids, offs, buf, _ in K.unpack(batches):
             raw = buf.tobytes()
-            exact = [xxhash.xxh3_128_intdigest(b" ".join(raw[s:e].lower().split())) for s, e in zip(offs[:-1].tolist(), offs[1:].tolist())]
-            low = np.array([x & (1 << 64) - 1 for x in exact], np.uint64).view(np.int64)
-            high = np.array([x >> 64 for x in exact], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fingerprint_slice(buf, offs, NEAR_SHINGLE)), pa.array(low), pa.array(high)], ["doc_id", "fp", "low", "high"])
-
-    src = C.source(docs, text_col, id_col).where("doc_id is not null")
-    prints = C.materialize(src.mapInArrow(run, "doc_id long, fp long, low long, high long"))
-    firsts = C.materialize(prints.groupBy("low", "high").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")))
-    reps = C.materialize(firsts.groupBy("fp").agg(F.min("first").alias("rep")))
-    near = links(reps.select("fp"), radius).distinct()
+            exact = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(raw[s:e].lower().split())) for s, e in zip(offs[:-1].tolist(), offs[1:].tolist())), np.int64).reshape(-1, 2)
+            columns = [pa.array(x) for x in (np.full(len(ids), chunk), np.arange(len(ids)), ids, fingerprint_slice(buf, offs, NEAR_SHINGLE), exact[:, 0].copy(), exact[:, 1].copy())]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk", "row", "doc_id", "fp", "low", "high"])
+
+    def places(table: pa.Table) -> pa.Table:
+        row = np.sort(table.column("row").to_numpy())
+        return pa.table([table.column("chunk").slice(0, 1), pa.array([K.pack([[row.astype(np.uint32)]])], pa.binary())], ["chunk", "answer"])
+
+    prints = C.materialize(chunks.rows.mapInArrow(run, "chunk long, row long, doc_id long, fp long, low long, high long"))
+    firsts = C.materialize(prints.groupBy("low", "high").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.count("*").alias("n")))
+    many = firsts.where("n > 1").select(F.struct("low", "high").alias("of"), "first", "n")
+    total = many.agg(F.sum("n")).first()[0] or 0
+    copies = C.materialize(C.spread_join(prints.select(F.struct("low", "high").alias("of"), "chunk", "row", "doc_id"), many, "of", "n", total).where("doc_id <> first").select("chunk", "row", "doc_id"))
+    told = copies.repartition(chunks.parts, "chunk").groupBy("chunk").applyInArrow(places, "chunk long, answer binary")
+    told = C.materialize(told.select("chunk", F.array(F.struct(F.lit(0).cast("long").alias("bucket"), "answer")).alias("answers")))
+    found = J.sets(chunks, told, shingle, least)
+    C.forget(chunks.rows, prints, told)
+
+    reps = C.materialize(firsts.groupBy("fp").agg(F.min("first").alias("rep"), F.count("*").alias("m")))
     rep_a, rep_b = (reps.select(F.col("fp").alias(x), F.col("rep").alias(y)) for x, y in (("a", "u"), ("b", "v")))
-    ties = near.join(rep_a, "a").join(rep_b, "b").select("u", "v")
-    ties = ties.unionByName(firsts.join(reps, "fp").where("first <> rep").select(F.col("first").alias("u"), F.col("rep").alias("v")))
-    ties = ties.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    copies = C.materialize(prints.join(firsts.select("low", "high", "first"), ["low", "high"]).where("doc_id <> first").select("doc_id").distinct())
-    single = src.join(copies, "doc_id", "left_anti")
-    shared, maps = J.shared_prefixes(single, shingle, least), J.bitmaps(single, shingle)
-
-    def verify(batches):
-        for b in batches:
-            u, v, tu, tv = (b.column(b.schema.get_field_index(x)) for x in ("u", "v", "tu", "tv"))
-            ok = pa.array([similarity(x.as_py(), y.as_py(), shingle) >= least for x, y in zip(tu, tv)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([u.filter(ok), v.filter(ok)], ["a", "b"])
-
-    def verified(ties):
-        ties = J.plausible(ties, maps, least)
-        ends = ties.select(F.col("u").alias("doc_id")).union(ties.select(F.col("v").alias("doc_id"))).distinct()
-        texts = C.materialize(single.join(ends, "doc_id", "left_semi").distinct())
-        pairs = ties.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
-        return C.materialize(pairs.select("u", "v", "tu", "tv").mapInArrow(verify, "a long, b long"))
-
-    found = verified(ties.unionByName(J.center_pairs(shared)).distinct())
-    found = found.unionByName(verified(J.all_pairs(shared, C.components(found), least)))
-    gone = C.components(found).where("node <> label").select(F.col("node").alias("_gone"))
-    gone = C.materialize(gone.unionByName(copies.select(F.col("doc_id").alias("_gone"))).distinct())
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    near = links(reps.select("fp"), radius).distinct().join(rep_a, "a").join(rep_b, "b").select("u", "v")
+    equal = C.spread_join(firsts.select("fp", F.col("first").alias("u")), reps.withColumnRenamed("rep", "v"), "fp", "m", firsts.count()).where("u <> v").select("u", "v")
+    ties = near.unionByName(equal).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    shared = J.entries(found)
+    links_ = J.verified(ties.unionByName(J.center_pairs(shared)).distinct(), found, least)
+    labels = C.materialize(C.components(links_))
+    pairs = J.all_pairs(shared, labels, least)
+    links_ = links_.unionByName(J.verified(pairs, found, least))
+    gone = C.components(links_).where("node <> label").select(F.col("node").alias("id"))
+    gone = C.materialize(gone.unionByName(copies.select(F.col("doc_id").alias("id"))).distinct())
+    C.forget(firsts, reps, copies, found, shared, labels, pairs)
+    key = next(x for k in count() if (x := f"id_{k}") not in {c.lower() for c in docs.columns})
+    return docs.join(gone.withColumnRenamed("id", key), F.col(id_col).cast("long") == F.col(key), "left_anti")

@@ -4,7 +4,6 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline as cp
-from lodestone.llm import simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,10 +33,7 @@ def test_near_duplicates_keep_one_of_each_group(spark, stages):
     for _ in range(20):
         for a, b in pairs:
             label[a] = label[b] = min(label[a], label[b])
-    kept = [label[k] for k in after]
-    assert set(kept) == set(label.values())  # no group is lost
-    assert len(kept) - len(set(kept)) <= 0.02 * len(before)  # fingerprints may miss a link
-    assert len(after) < len(before)
+    assert after == {k for k in label if label[k] == k} and len(after) < len(before)
 
 
 def test_personal_data_goes_and_the_rest_stays(stages):
@@ -52,8 +48,3 @@ def test_personal_data_goes_and_the_rest_stays(stages):
 def test_run(spark):
     words = sum(r.n_words for r in cp.run(spark, SF).collect())
     assert 0 < words <= sum(len((t or "").split()) for t in pq.read_table(f"{SF}/documents.parquet", columns=["text"]).column(0).to_pylist()) * 1.05
-
-
-def test_similarity():
-    assert simhash.similarity("a b c d e f", "A b c d e f", 5) == 1
-    assert simhash.similarity(None, "", 5) == 1
