@@ -139,19 +139,20 @@ def repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, text_col: str
         raw[place] = buf[C.NON_SPACE[buf]]
         begin = np.concatenate([[0], space])
         said = K.Pieces(begin[v0], begin[v1 + window], raw.tobytes())
-        hot_at = np.concatenate([np.arange(i, j + 1) for i, j in zip(first[~cold].tolist(), last[~cold].tolist())]) if (~cold).any() else np.zeros(0, np.int64)
+        hot_at = K.each(first[~cold], last[~cold])
         second = C.windows_hash(C.mix(h ^ _SALT), window)[hot_at]
         return [
             (K.bucket_of(K.key(r[c], n)), [v0.astype(np.uint32), (c - v0).astype(np.uint8), (v1 - v0 + 1).astype(np.uint8), ids[doc[v0]], said]),
             K.least_sent(w[hot_at], second, ids[doc[hot_at]], n),
-            (gone % n, [gone.astype(np.uint32)]),
+            (K.home(ids, buf, n, len(gone)), [gone.astype(np.uint32)]),
+            (K.home(ids, buf, n, int((~cold).sum())), [first[~cold].astype(np.uint32), last[~cold].astype(np.uint32)]),
         ]
 
     def solve(kinds):
         sender, (v0, left, size, ids, said) = kinds[0]
         mask = extend(left.astype(np.int64), size.astype(np.int64), ids, said[:-1], window, block)
         which = np.flatnonzero(mask)
-        return [(sender[which], [v0[which], mask[which]]), K.least_told(kinds[1]), kinds[2]]
+        return [(sender[which], [v0[which], mask[which]]), K.least_told(kinds[1]), *kinds[2:]]
 
     found = K.exchange(chunks, segments, solve, hits)
     C.forget(hits)
@@ -162,11 +163,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, text_col: str
             cut = np.zeros(len(s), bool)
             if told := K.joined(answers):
                 gone = K.bits(*told[0][1])
-                if len(told[1][1][0]):
-                    w, ok = _rolling(h, doc, window)
-                    at = np.flatnonzero(ok & (K.among(w, np.sort(told[1][1][0])) >= 0))
-                    least = K.least_of(told[1], w[at], C.windows_hash(C.mix(h ^ _SALT), window)[at])
-                    gone = np.concatenate([gone, at[least < ids[doc[at]]]])
+                at = K.each(*(x.astype(np.int64) for x in told[3][1]))
+                if len(at) and len(told[1][1][0]):
+                    hashes = C.windows_hash(h, window)[at], C.windows_hash(C.mix(h ^ _SALT), window)[at]
+                    gone = np.concatenate([gone, at[K.least_of(told[1], *hashes) < ids[doc[at]]]])
                 cut = K.cover(gone, window, len(s))
                 copy = np.zeros(len(ids), bool)
                 copy[told[2][1][0].astype(np.int64)] = True

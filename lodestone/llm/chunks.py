@@ -90,6 +90,11 @@ def key(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> _U(BITS)) % _U(n)) << _U(BITS) | (h & _U((1 << BITS) - 1))
 
 
+def home(ids: np.ndarray, buf: np.ndarray, n: int, count: int) -> np.ndarray:
+    """The bucket, count times, of entries that a chunk sends to be told again."""
+    return np.full(count, (int(ids[0]) + len(buf)) % n)
+
+
 def bucket_of(k: np.ndarray) -> np.ndarray:
     return (k >> _U(BITS)).astype(np.int64)
 
@@ -349,11 +354,19 @@ def anchored(hashes: np.ndarray, live: np.ndarray, ok: np.ndarray, k: int):
     several; so it depends on the window's content alone. ok: the windows that lie within a text.
     """
     place = np.arange(len(hashes), dtype=_U)
-    best = windows(np.where(live, (hashes >> _U(32)) << _U(32) | place, NEVER), k, np.minimum)[: len(ok)]
-    v = np.flatnonzero(ok & (best != NEVER))
-    a = (best[v] & _U(0xFFFFFFFF)).astype(np.int64)
-    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (v[1:] != v[:-1] + 1)])) if len(v) else v
-    return v[new], v[np.append(new[1:], len(v)) - 1] if len(v) else v, a[new]
+    best = windows(np.where(live, hashes & _U(0xFFFFFFFF00000000) | place, NEVER), k, np.minimum)[: len(ok)]
+    there = ok & (best != NEVER)
+    apart = best[1:] != best[:-1]
+    none = np.array([True])
+    first = np.flatnonzero(there & np.concatenate([none, ~there[:-1] | apart]))
+    last = np.flatnonzero(there & np.concatenate([~there[1:] | apart, none])) if len(there) else first
+    return first, last, (best[first] & _U(0xFFFFFFFF)).astype(np.int64)
+
+
+def each(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All places from each first to its last."""
+    n = last - first + 1
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 def removed_spans(cover: np.ndarray):

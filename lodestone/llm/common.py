@@ -144,6 +144,7 @@ def word_spans(buf: np.ndarray, offs: np.ndarray, inside: np.ndarray):
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_OTHER = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)  # for a second, independent hash
 _R, _R2 = 0x9E3779B97F4A7C15 | 5, 0xD1342543DE82EF95
 _pows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -170,11 +171,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def spans_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def spans_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
     """64-bit hash of the bytes of each span."""
+    if not len(starts):
+        return np.zeros(0, _U)
     up, down = _powers(_R, len(buf))
     total = np.zeros(len(buf) + 1, _U)
-    np.cumsum(_BYTE[buf] * up[: len(buf)], out=total[1:])
+    np.cumsum(table[buf] * up[: len(buf)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts])
 
 

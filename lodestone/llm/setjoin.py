@@ -64,7 +64,7 @@ def sets(chunks: K.Chunks, copies: DataFrame, shingle: int, least: float) -> Dat
     def send(ids, offs, buf, answers):
         d, s, gone = _own(ids, offs, buf, K.joined(answers), shingle, 0)
         k, times, _ = K.counted(K.key(s, n), d)
-        return [(K.bucket_of(k), [K.inside(k), times]), (gone % n, [gone.astype(np.uint32)])]
+        return [(K.bucket_of(k), [K.inside(k), times]), (K.home(ids, buf, n, len(gone)), [gone.astype(np.uint32)])]
 
     def count(kinds):
         sender, (h, times) = kinds[0]

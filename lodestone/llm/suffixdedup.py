@@ -39,7 +39,9 @@ def anchors(offs: np.ndarray, buf: np.ndarray, length: int = LENGTH, anchor: int
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(C._BYTE[buf] * up[:n], out=total[1:])
     g = C.mix((total[anchor:] - total[:-anchor]) * down[: n - anchor + 1])
-    ok = np.repeat(offs[1:], np.diff(offs))[: n - length + 1] - np.arange(n - length + 1) >= length
+    ok = np.ones(n - length + 1, bool)
+    for e in offs[1:-1].tolist():  # no window across two texts
+        ok[max(0, e - length + 1) : e] = False
     return g, *K.anchored(g, np.ones(len(g), bool), ok, length - anchor + 1)
 
 
@@ -123,14 +125,24 @@ def groups(columns: list[np.ndarray], own: np.ndarray, before: np.ndarray, lengt
     A node (prefix, left, right) is a maximal repeat of these segments: the suffixes left to right of the
     order, all its occurrences, share prefix bytes and no more, and have different bytes before them. A
     segment's first suffix goes on beyond it to the left, where other anchors' buckets see it, so its
-    occurrences count as different there.
+    occurrences count as different there. Suffixes whose first length bytes come once, by a hash, are left out.
     """
     n = own - length + 1
     begin = np.cumsum(n) - n
-    seg = np.repeat(np.arange(len(own)), n)
-    at = np.arange(len(seg)) - begin[seg]
     text = np.stack([c.astype("<u8") for c in columns], axis=1).view(np.uint8).reshape(len(own), WIDE)
     flat = np.concatenate([text, np.zeros_like(text)], axis=1).ravel()
+    up, down = C._powers(C._R, WIDE)
+    total = np.zeros((len(own), WIDE + 1), np.uint64)
+    np.cumsum(C._BYTE[text] * up[:WIDE], axis=1, out=total[:, 1:])
+    h = (total[:, length:] - total[:, :-length]) * down[: WIDE - length + 1]
+    h = h[np.arange(WIDE - length + 1) < n[:, None]]
+    by = np.argsort(h)
+    new = np.concatenate([[True], h[by][1:] != h[by][:-1], [True]])
+    often = np.zeros(len(h), bool)
+    often[by] = ~(new[1:] & new[:-1])
+    some = np.flatnonzero(often)
+    seg = np.searchsorted(begin, some, "right") - 1
+    at = some - begin[seg]
     place = seg * (2 * WIDE) + at
     words = [np.zeros(len(seg), np.uint64) for _ in range(WIDE // 8)]
     for k, w in enumerate(words):
@@ -142,12 +154,12 @@ def groups(columns: list[np.ndarray], own: np.ndarray, before: np.ndarray, lengt
     lcp, open_ = np.zeros(len(seg), np.int64), np.ones(len(seg), bool)
     for w in words:
         x = w[order]
-        gap = np.concatenate([[np.uint64(1) << np.uint64(63)], x[1:] ^ x[:-1]])
+        gap = np.concatenate([[np.uint64(1) << np.uint64(63)], x[1:] ^ x[:-1]])[: len(x)]
         same = sum((gap < np.uint64(1 << 8 * k)).astype(np.int64) for k in range(8))
         lcp += np.where(open_, same, 0)
         open_ &= gap == 0
     lcp[1:] = np.minimum(lcp[1:], np.minimum(room[1:], room[:-1]))
-    lcp[0] = 0
+    lcp[:1] = 0
     node = intervals(lcp, length)[:, :3]
     previous = np.where(at > 0, flat[np.maximum(place - 1, 0)].astype(np.int64), -1 - before[seg])[order]
     edge = np.concatenate([[0], np.cumsum(at[order] == 0)])
@@ -169,13 +181,15 @@ def bucket_repeats(columns: list[np.ndarray], size: np.ndarray, before: np.ndarr
     first = np.full(len(pick), np.iinfo(np.int64).max)
     np.minimum.at(first, of, doc)
     order, seg, at, begin, node = groups([c[pick] for c in columns], size[pick], before[pick], length)
-    least = first[seg]  # of each window the smallest doc_id that has it
+    n = size[pick] - length + 1
+    least = np.repeat(first, n)  # of each window the smallest doc_id that has it
     if len(node):
+        where = order[K.each(node[:, 1], node[:, 2])]
         many = node[:, 2] - node[:, 1] + 1
-        where = order[np.repeat(node[:, 1] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
         low = np.repeat(np.minimum.reduceat(first[seg[where]], np.cumsum(many) - many), many)
         span = np.repeat(node[:, 0] - length + 1, many)  # the windows of each occurrence
-        np.minimum.at(least, np.repeat(where - (np.cumsum(span) - span), span) + np.arange(int(span.sum())), np.repeat(low, span))
+        start = begin[seg[where]] + at[where]
+        np.minimum.at(least, K.each(start, start + span - 1), np.repeat(low, span))
     n = size - length + 1
     who = np.repeat(np.arange(len(size)), n)
     at = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
@@ -207,11 +221,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: in
 
     hits = K.exchange(chunks, probe, shared)
 
-    def second_hash(buf):
-        return C.windows_hash(C.mix(C._BYTE[buf]), length)
-
-    def first_hash(buf):
-        return C.windows_hash(C._BYTE[buf], length)
+    def both_hashes(buf, at):
+        return C.spans_hash(buf, at, at + length), C.spans_hash(buf, at, at + length, C._OTHER)
 
     def segments(ids, offs, buf, answers):
         told = K.joined(answers)
@@ -229,12 +240,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: in
         cold = keep & ~very
         v0, v1, c, d = first[cold], last[cold], a[cold], doc[cold]
         before = np.where(v0 > offs[d], buf[np.maximum(v0 - 1, 0)].astype(np.int64), 256)
-        hot_at = np.concatenate([np.arange(i, j + 1) for i, j in zip(first[very].tolist(), last[very].tolist())]) if very.any() else np.zeros(0, np.int64)
-        h1, h2 = (first_hash(buf)[hot_at], second_hash(buf)[hot_at]) if len(hot_at) else [np.zeros(0, np.uint64)] * 2
+        hot_at, echo = K.each(first[very], last[very]), K.home(ids, buf, n, int(very.sum()))
         return [
             (K.bucket_of(K.key(g[c], n)), [v0.astype(np.uint32), (v1 - v0 + length).astype(np.uint8), before.astype(np.uint16), ids[d], K.Pieces(v0, v1 + length, buf.tobytes())]),
-            K.least_sent(h1, h2, ids[C.owner(hot_at, offs)], n),
-            (gone % n, [gone.astype(np.uint32)]),
+            K.least_sent(*both_hashes(buf, hot_at), ids[C.owner(hot_at, offs)], n),
+            (K.home(ids, buf, n, len(gone)), [gone.astype(np.uint32)]),
+            (echo, [first[very].astype(np.uint32), last[very].astype(np.uint32)]),
         ]
 
     def solve(kinds):
@@ -244,7 +255,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: in
         wide[np.arange(WIDE) < size[:, None]] = np.frombuffer(said, np.uint8)
         mask = bucket_repeats(list(wide.view("<u8").T), size, before.astype(np.int64), ids, length)
         which = np.flatnonzero(mask)
-        return [(sender[which], [v0[which], mask[which]]), K.least_told(kinds[1]), kinds[2]]
+        return [(sender[which], [v0[which], mask[which]]), K.least_told(kinds[1]), *kinds[2:]]
 
     found = K.exchange(chunks, segments, solve, hits)
     C.forget(hits)
@@ -254,12 +265,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: in
             gone = np.zeros(len(buf), bool)
             if told := K.joined(answers):
                 start = K.bits(*told[0][1])
-                if len(told[1][1][0]):
-                    w = first_hash(buf)
-                    at = np.flatnonzero(K.among(w, np.sort(told[1][1][0])) >= 0)
-                    d = C.owner(at, offs)
-                    at, d = at[at + length <= offs[d + 1]], d[at + length <= offs[d + 1]]
-                    start = np.concatenate([start, at[K.least_of(told[1], w[at], second_hash(buf)[at]) < ids[d]]])
+                at = K.each(*(x.astype(np.int64) for x in told[3][1]))
+                if len(at) and len(told[1][1][0]):
+                    start = np.concatenate([start, at[K.least_of(told[1], *both_hashes(buf, at)) < ids[C.owner(at, offs)]]])
                 gone = K.cover(start, length, len(buf))
                 for d in told[2][1][0].tolist():
                     gone[offs[d] : offs[d + 1]] = True
