@@ -2,13 +2,14 @@
 
 The reader takes either byte order, strips and tiles, samples of 8 or 16 bits, chunky or planar, no
 compression, PackBits, LZW or deflate, with or without the horizontal predictor, and gives one row for
-each page. The writer stores any bytes losslessly as 8-bit grey pages 64 pixels wide: small payloads as
-LZW strips, middling ones as PackBits strips, larger ones as deflated tiles with the predictor, so each
-layout is in use; equal bytes give equal files.
+each page. The writer stores any bytes losslessly as 8-bit grey pages 64 pixels wide. Compression, strips
+or tiles, and the predictor are told by the payload's checksum, so texts of every size meet every layout
+and equal bytes give equal files.
 
 Defined results: a null or empty text has an empty payload, padded to 64 zero bytes; repeated rows each
 get a row; an empty table gives an empty result; a null file or one without a directory gives no page,
-not a failure, in pages(), and a page that can't be read has a row of nulls; other columns are ignored.
+not a failure, in pages(), and a page that can't be read has a row of nulls, whatever is wrong with its
+directory, also where it claims more pixels than its file can hold; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-WIDTH, PAGE_ROWS, LZW_BYTES, PACKBITS_BYTES, STRIP_ROWS, TILE = 64, 1024, 640, 2048, 32, 64
+WIDTH, PAGE_ROWS, STRIP_ROWS, TILE = 64, 1024, 32, 64
+MOST_BYTES, MOST_GROWTH = 1 << 30, 1 << 12  # of a page that is read, in all and for each byte of its file
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 _SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8}
 _CODE = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 16: "Q"}
@@ -45,9 +47,9 @@ class Page(NamedTuple):
     pixels: np.ndarray  # (height, width, samples)
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, most: int = MOST_BYTES) -> bytes:
     out, i, n = bytearray(), 0, len(data)
-    while i < n:
+    while i < n and len(out) < most:
         c = data[i]
         i += 1
         if c < 128:
@@ -60,24 +62,31 @@ def unpack_bits(data: bytes) -> bytes:
 
 
 def pack_bits(data: bytes) -> bytes:
-    out, i, n, held = bytearray(), 0, len(data), 0
-    while i < n:
-        j = i + 1
-        while j < n and j - i < 128 and data[j] == data[i]:
-            j += 1
-        if j - i >= 3 or j == n:
-            for k in range(held, i, 128):
-                part = data[k : min(i, k + 128)]
-                out += bytes([len(part) - 1]) + part
-            out += bytes([(257 - (j - i)) & 255, data[i]]) if j - i > 1 else bytes([0, data[i]])
-            held = j
-        i = j
+    """Runs of three equal bytes and more as runs, all between them as they are."""
+    x = np.frombuffer(data, np.uint8)
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    size = np.diff(np.append(at, len(x)))
+    out, held = bytearray(), 0
+
+    def literal(s, e):
+        for k in range(s, e, 128):
+            part = data[k : min(e, k + 128)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for s, n in zip(at[size >= 3].tolist(), size[size >= 3].tolist()):
+        literal(held, s)
+        for k in range(0, n, 128):
+            m = min(128, n - k)
+            out.extend(bytes([(257 - m) & 255, data[s]]) if m > 1 else bytes([0, data[s]]))
+        held = s + n
+    literal(held, len(data))
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, high bits first, growing one code early."""
-    out, table, width, last = [], [], 9, b""
+def lzw_decode(data: bytes, most: int = MOST_BYTES) -> bytes:
+    """Codes of 9 to 12 bits, high bits first, growing one code early; it ends once most bytes are there."""
+    out, table, width, last, size = [], [], 9, b"", 0
     bits = have = 0
     start = [bytes([i]) for i in range(256)] + [b"", b""]
     for byte in data:
@@ -101,6 +110,9 @@ def lzw_decode(data: bytes) -> bytes:
         else:
             raise Damaged("LZW code out of range")
         out.append(word)
+        size += len(word)
+        if size >= most:
+            break
         if last and len(table) < 4096:
             table.append(last + word[:1])
         last = word
@@ -203,8 +215,12 @@ def _page(raw: bytes, order: str, tags: dict[int, list]) -> Page:
     tiled = 322 in tags
     bw, bh = (one(322, 0), one(323, 0)) if tiled else (width, min(one(278, height), height))
     starts, sizes = (tags.get(324), tags.get(325)) if tiled else (tags.get(273), tags.get(279))
+    if bw <= 0 or bh <= 0 or samples <= 0 or planar not in (1, 2):
+        raise Damaged("strips or tiles without pixels, or no samples")
+    if max(width, bw) * max(height, bh) * samples * bits // 8 > min(MOST_BYTES, MOST_GROWTH * len(raw)):
+        raise Damaged("more pixels than the file can hold")
     across, down, planes = -(-width // bw), -(-height // bh), samples if planar == 2 else 1
-    if not starts or not sizes or len(starts) < across * down * planes:
+    if not starts or not sizes or min(len(starts), len(sizes)) < across * down * planes:
         raise Damaged("too few strips or tiles")
     kind, per = np.dtype(f"{order}u{bits // 8}"), samples // planes
     out = np.zeros((height, width, samples), kind.newbyteorder("="))
@@ -214,9 +230,9 @@ def _page(raw: bytes, order: str, tags: dict[int, list]) -> Page:
         need = rows * bw * per * bits // 8
         data = raw[starts[k] : starts[k] + sizes[k]]
         if how == PACKBITS:
-            data = unpack_bits(data)
+            data = unpack_bits(data, need)
         elif how == LZW:
-            data = lzw_decode(data)
+            data = lzw_decode(data, need)
         elif how in (DEFLATE, OLD_DEFLATE):
             data = _inflate(data, need)
         elif how != NONE:
@@ -232,18 +248,21 @@ def _page(raw: bytes, order: str, tags: dict[int, list]) -> Page:
 
 
 def write(payload: bytes, width: int = WIDTH, page_rows: int = PAGE_ROWS) -> bytes:
-    """A file of as many pages as the payload, a positive multiple of width, needs."""
+    """A file of as many pages as the payload, a positive multiple of width (which tiles need to be of 16), takes."""
     n = len(payload)
-    how = LZW if n <= LZW_BYTES else PACKBITS if n <= PACKBITS_BYTES else DEFLATE
+    mark = zlib.crc32(payload)
+    how, tiled, predictor = (LZW, PACKBITS, DEFLATE)[mark % 3], bool(mark >> 8 & 1), 1 + (mark >> 9 & 1)
+    predictor = 1 if how == PACKBITS else predictor
     out, link = bytearray(b"II*\0\0\0\0\0"), 4
     for at in range(0, n, width * page_rows):
         page = np.frombuffer(payload, np.uint8, min(width * page_rows, n - at), at).reshape(-1, width)
         rows, blocks = len(page), []
-        step = TILE if how == DEFLATE else STRIP_ROWS
+        step = TILE if tiled else STRIP_ROWS
         for y in range(0, rows, step):
             block = page[y : y + step]
-            if how == DEFLATE:
+            if tiled:
                 block = np.concatenate([block, np.zeros((step - len(block), width), np.uint8)])
+            if predictor == 2:
                 block = np.concatenate([block[:, :1], block[:, 1:] - block[:, :-1]], axis=1)
             raw = block.tobytes()
             blocks.append(lzw_encode(raw) if how == LZW else pack_bits(raw) if how == PACKBITS else zlib.compress(raw, 1))
@@ -252,7 +271,8 @@ def write(payload: bytes, width: int = WIDTH, page_rows: int = PAGE_ROWS) -> byt
             starts.append(len(out))
             out += b
         tags = [(256, 4, [width]), (257, 4, [rows]), (258, 3, [8]), (259, 3, [how]), (262, 3, [1]), (277, 3, [1]), (284, 3, [1])]
-        tags += [(317, 3, [2]), (322, 4, [width]), (323, 4, [step]), (324, 4, starts), (325, 4, sizes)] if how == DEFLATE else [(273, 4, starts), (278, 4, [step]), (279, 4, sizes)]
+        tags += [(317, 3, [predictor])] if predictor > 1 else []
+        tags += [(322, 4, [width]), (323, 4, [step]), (324, 4, starts), (325, 4, sizes)] if tiled else [(273, 4, starts), (278, 4, [step]), (279, 4, sizes)]
         body = b""
         if len(out) & 1:
             out += b"\0"
