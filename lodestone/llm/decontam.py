@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-WINDOW, BLOCK_WORDS, MIN_ITEMS, SHORT = 8, 1 << 20, 2, 4
+WINDOW, BLOCK_WORDS, MIN_ITEMS, SHORT = 8, 1 << 17, 2, 4
 _SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, starts array<long>, ends array<long>"
 
 

@@ -9,7 +9,8 @@ bin opens. A document longer than a bin fills whole bins with its first pieces;
 
 Defined results: null and empty texts have no words and get one row without a bin; a null source
 conflicts with nothing; repeated rows are documents of their own, of one cluster; ties go to the
-smaller doc_id, nulls first; an empty table gives an empty result; other columns are ignored.
+smaller doc_id, nulls first; an empty table gives an empty result; other columns are ignored. Rows are
+dealt by their place in the input, so the same rows in other files may meet in other bins.
 """
 
 from __future__ import annotations

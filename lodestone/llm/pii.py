@@ -8,14 +8,16 @@ are all that need decoding, and nothing is left out by that. A field's span that
 gives way to it.
 
 Defined results: null and empty texts have no spans; offsets are code points, ends exclusive;
-repeated rows each get a row; an empty table gives an empty result; further columns are ignored.
+repeated rows each get a row; an empty table gives an empty result; further columns are ignored; a very
+long text is decoded as one.
 """
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -265,6 +267,29 @@ def field_spans(field: Field, buf: np.ndarray, offs: np.ndarray):
 _EDGE = " \t\n\x0b\x0c\r.,;:!?\"'<>[]{}"
 
 
+def all_spans(text: str, raw: np.ndarray, extra) -> list[tuple[int, int, int, bool]]:
+    """(start, kind's place, end, base) of a text's spans, sorted; extra: (start, end, kind) by the field, in bytes of raw.
+
+    A field's span goes without its outer punctuation, and only where it meets no base span; those are
+    looked up by the greatest end of all that begin before it, so time doesn't grow with their product.
+    """
+    found = [(s, k, e, True) for s, k, e in base_spans(text)]
+    if extra:
+        begins = [s for s, *_ in found]
+        reach = list(accumulate((e for _, _, e, _ in found), max))
+        point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+        for s, e, k in extra:
+            s, e = int(point[s]), int(point[e])
+            while s < e and text[s] in _EDGE:
+                s += 1
+            while e > s and text[e - 1] in _EDGE:
+                e -= 1
+            before = bisect_left(begins, e)
+            if s < e and not (before and reach[before - 1] > s):
+                found.append((s, k, e, False))
+    return sorted(found)
+
+
 def find(docs: DataFrame, field: Field | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, starts, ends, kinds, base): the spans of each row by start, and which are base ones."""
     shared = docs.sparkSession.sparkContext.broadcast(train() if field is None else field)
@@ -279,20 +304,8 @@ def find(docs: DataFrame, field: Field | None = None, text_col: str = "text", id
         out: list[list] = [[] for _ in range(len(offs) - 1)]
         for d in np.flatnonzero(mark[offs[1:]] > mark[offs[:-1]]).tolist():
             raw = buf[offs[d] : offs[d + 1]]
-            text = raw.tobytes().decode("utf-8", "replace")
-            found = [(s, k, e, True) for s, k, e in base_spans(text)]
-            if d in extra:
-                point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-                taken = sorted((s, e) for s, _, e, _ in found)
-                for s, e, k in extra[d]:
-                    s, e = int(point[s - offs[d]]), int(point[e - offs[d]])
-                    while s < e and text[s] in _EDGE:
-                        s += 1
-                    while e > s and text[e - 1] in _EDGE:
-                        e -= 1
-                    if s < e and not any(a < e and s < b for a, b in taken):
-                        found.append((s, k, e, False))
-            out[d] = sorted(found)
+            mine = [(s - int(offs[d]), e - int(offs[d]), k) for s, e, k in extra.get(d, ())]
+            out[d] = all_spans(raw.tobytes().decode("utf-8", "replace"), raw, mine)
         return out
 
     def run(batches):
@@ -330,23 +343,11 @@ def mask(docs: DataFrame, field: Field | None = None, text_col: str = "text", ta
             for i, t in enumerate(texts_):
                 if not t or not _TRIGGER.search(t):
                     continue
-                raw = t.encode()
-                found = base_spans(t)
-                spans = [(s, e, k) for s, k, e in found]
-                point = None
-                for _, s, e, k in field_spans(shared.value, np.frombuffer(raw, np.uint8), np.array([0, len(raw)])):
-                    if point is None:
-                        point = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
-                    s, e = int(point[s]), int(point[e])
-                    while s < e and t[s] in _EDGE:
-                        s += 1
-                    while e > s and t[e - 1] in _EDGE:
-                        e -= 1
-                    if s < e and not any(a < e and s < b for a, b, _ in spans[: len(found)]):
-                        spans.append((s, e, k))
+                raw = np.frombuffer(t.encode(), np.uint8)
+                spans = all_spans(t, raw, [(s, e, k) for _, s, e, k in field_spans(shared.value, raw, np.array([0, len(raw)]))])
                 if spans:
                     out, at = [], 0
-                    for s, e, k in sorted(spans):
+                    for s, e, k in sorted((s, e, k) for s, k, e, _ in spans):
                         if s >= at:
                             out += [t[at:s], tag.format(KINDS[k])]
                         at = max(at, e)
@@ -357,8 +358,3 @@ def mask(docs: DataFrame, field: Field | None = None, text_col: str = "text", ta
 
 
 _TRIGGER = re.compile("[0-9@]")
-
-
-def digest(spans: list[tuple[int, int, str]]) -> str:
-    """The brute-force form of base_sha256, for tests."""
-    return hashlib.sha256(",".join(f"{BASE[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest()

@@ -3,7 +3,9 @@
 Learned embeddings of bytes, filters of 8 bytes at every fourth byte, ReLU; the greatest answer of each
 filter in half-chunks of 256 bytes; two neighbouring halves make a chunk of 512 bytes, each overlapping
 the next by half, which together cover the whole document; the chunks' greatest and mean answers go
-through a small dense layer to one probability. Training takes a bounded sample of labelled rows.
+through a small dense layer to one probability. Training takes a bounded sample of labelled rows: SAMPLE of
+either class, and of each the whole text or, of one longer than TRAIN_HALVES halves, so many evenly spread
+over it. Scoring takes every byte, AT_ONCE halves at a time, so its memory is that of the text.
 
 Defined results: a null or empty text is scored as one chunk of zero bytes; of a document with several
 labels the least counts; with one class or none to learn from the score is that class's label, or 0.5;
@@ -20,24 +22,26 @@ from pyspark.sql import functions as F
 from . import common as C
 
 EMBED, FILTERS, HIDDEN, HALF = 8, 32, 16, 64  # HALF: positions of 4 bytes in half a chunk
+AT_ONCE = 256
 SAMPLE, TRAIN_HALVES, EPOCHS, BATCH, RATE, SEED = 512, 96, 24, 32, 0.004, 11
 
 
-def halves(buf: np.ndarray, offs: np.ndarray, most: int | None = None):
-    """(bytes (halves, 260), live positions, first half of each document)."""
-    size = np.diff(offs)
-    count = np.maximum(1, -(-size // (4 * HALF)))
+def places(offs: np.ndarray, most: int | None = None):
+    """(document, first byte, end of the document's bytes) of each half, and the first half of each document."""
+    count = np.maximum(1, -(-np.diff(offs) // (4 * HALF)))
     take = np.minimum(count, most) if most else count
-    doc = np.repeat(np.arange(len(size)), take)
+    doc = np.repeat(np.arange(len(count)), take)
     k = np.arange(len(doc)) - np.repeat(np.cumsum(take) - take, take)
     k = k * count[doc] // take[doc]  # all of them, or in training so many evenly spread
-    at = offs[:-1][doc] + 4 * HALF * k
-    end = offs[1:][doc]
+    return doc, offs[:-1][doc] + 4 * HALF * k, offs[1:][doc], np.cumsum(take) - take
+
+
+def halves(buf: np.ndarray, at: np.ndarray, end: np.ndarray):
+    """(bytes (halves, 260), live positions) of the halves that begin at the places at."""
     where = at[:, None] + np.arange(4 * HALF + 4)
-    grid = np.concatenate([buf, np.zeros(1, np.uint8)])[np.minimum(where, len(buf))]
-    grid[where >= end[:, None]] = 0
-    live = np.arange(HALF)[None, :] * 4 < np.maximum(end - at, 1)[:, None]
-    return grid, live, np.cumsum(take) - take
+    inside = where < end[:, None]
+    grid = np.where(inside, buf[np.minimum(where, max(len(buf) - 1, 0))], 0).astype(np.uint8) if len(buf) else np.zeros(where.shape, np.uint8)
+    return grid, np.arange(HALF)[None, :] * 4 < np.maximum(end - at, 1)[:, None]
 
 
 class Network:
@@ -114,7 +118,8 @@ class Network:
                 who = order[i : i + BATCH]
                 raw = b"".join(texts[j] for j in who)
                 offs = np.concatenate([[0], np.cumsum([len(texts[j]) for j in who])]).astype(np.int64)
-                grid, live, first = halves(np.frombuffer(raw, np.uint8), offs, TRAIN_HALVES)
+                _, at, end, first = places(offs, TRAIN_HALVES)
+                grid, live = halves(np.frombuffer(raw, np.uint8), at, end)
                 t += 1
                 rate = RATE * (1 - epoch / epochs)
                 for k, g in self.step(grid, live, first, y[who], weight[who]).items():
@@ -123,9 +128,9 @@ class Network:
                     self.p[k] = (self.p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-7)).astype(np.float32)
         return self
 
-    def score(self, buf: np.ndarray, offs: np.ndarray, at_once: int = 256) -> np.ndarray:
-        grid, live, first = halves(buf, offs)
-        top = np.concatenate([self.pooled(grid[i : i + at_once], live[i : i + at_once]) for i in range(0, len(grid), at_once)])
+    def score(self, buf: np.ndarray, offs: np.ndarray, at_once: int = AT_ONCE) -> np.ndarray:
+        _, at, end, first = places(offs)
+        top = np.concatenate([self.pooled(*halves(buf, at[i : i + at_once], end[i : i + at_once])) for i in range(0, len(at), at_once)])
         return self.head(top, first)[0]
 
 
