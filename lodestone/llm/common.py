@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE = 1 << 20  # bytes of text that numpy handles at once (a longer document is one slice)
+PIECE = 1 << 18  # of these, bytes for which hashes are summed up at once
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -117,6 +118,15 @@ def text_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE, column: s
             i = j
 
 
+def pieces(offs: np.ndarray, limit: int = 2 * PIECE):
+    """(first, behind the last) of runs of a slice's documents with about limit bytes."""
+    i = 0
+    while i < len(offs) - 1:
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, "right")) - 1)
+        yield i, j
+        i = j
+
+
 def _table(inside) -> np.ndarray:
     return np.array([bool(inside(c)) for c in range(256)])
 
@@ -175,10 +185,23 @@ def spans_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.
     """64-bit hash of the bytes of each span."""
     if not len(starts):
         return np.zeros(0, _U)
-    up, down = _powers(_R, len(buf))
-    total = np.zeros(len(buf) + 1, _U)
-    np.cumsum(table[buf] * up[: len(buf)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    out = np.empty(len(starts), _U)
+    order = None if (starts[1:] >= starts[:-1]).all() else np.argsort(starts)
+    s, e = (starts, ends) if order is None else (starts[order], ends[order])
+    i = 0
+    while i < len(s):  # a piece at a time: what is computed for each byte stays small
+        j = int(np.searchsorted(s, s[i] + PIECE))
+        lo, hi = int(s[i]), int(e[i:j].max())
+        up, down = _powers(_R, hi - lo)
+        total = np.zeros(hi - lo + 1, _U)
+        np.cumsum(table[buf[lo:hi]] * up[: hi - lo], out=total[1:])
+        out[i:j] = mix((total[e[i:j] - lo] - total[s[i:j] - lo]) * down[s[i:j] - lo])
+        i = j
+    if order is None:
+        return out
+    back = np.empty_like(out)
+    back[order] = out
+    return back
 
 
 def windows_hash(words: np.ndarray, k: int) -> np.ndarray:

@@ -31,10 +31,15 @@ LENGTH, ANCHOR, WIDE, HOT = 50, 24, 80, 1 << 12
 
 
 def anchors(offs: np.ndarray, buf: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
-    """(hash of each anchor-long string, runs' first and last window and anchor's place, all as in K.anchored)."""
+    """(anchor's hash, first window, last window) of each run of windows with one anchor."""
+    found = [_anchors(offs[i : j + 1] - offs[i], buf[offs[i] : offs[j]], length, anchor, int(offs[i])) for i, j in C.pieces(offs)]
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _anchors(offs, buf, length, anchor, at):
     n, none = len(buf), np.zeros(0, np.int64)
     if n < length:
-        return np.zeros(0, np.uint64), none, none, none
+        return np.zeros(0, np.uint64), none, none
     up, down = C._powers(C._R, n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(C._BYTE[buf] * up[:n], out=total[1:])
@@ -42,7 +47,8 @@ def anchors(offs: np.ndarray, buf: np.ndarray, length: int = LENGTH, anchor: int
     ok = np.ones(n - length + 1, bool)
     for e in offs[1:-1].tolist():  # no window across two texts
         ok[max(0, e - length + 1) : e] = False
-    return g, *K.anchored(g, np.ones(len(g), bool), ok, length - anchor + 1)
+    first, last, a = K.anchored(g, np.ones(len(g), bool), ok, length - anchor + 1)
+    return g[a], first + at, last + at
 
 
 def intervals(lcp: np.ndarray, least: int):
@@ -206,8 +212,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: in
     n = chunks.buckets
 
     def probe(ids, offs, buf, _):
-        g, first, _, a = anchors(offs, buf, length, anchor)
-        k, times, several = K.counted(K.key(g[a], n), ids[C.owner(first, offs)])
+        g, first, _ = anchors(offs, buf, length, anchor)
+        k, times, several = K.counted(K.key(g, n), ids[C.owner(first, offs)])
         return [(K.bucket_of(k), [K.inside(k), several.astype(np.uint8), times]), K.copies_sent(ids, offs, buf, np.diff(offs) >= length, n)]
 
     def shared(kinds):
@@ -228,21 +234,21 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: in
         told = K.joined(answers)
         copy = K.copies(told and told[1], ids, offs, buf, np.diff(offs) >= length)
         gone = np.flatnonzero(copy)
-        g, first, last, a = anchors(offs, buf, length, anchor)
+        g, first, last = anchors(offs, buf, length, anchor)
         doc = C.owner(first, offs)
         keep, very = np.zeros(len(first), bool), np.zeros(len(first), bool)
         if told:
             known = K.whole(told[0][0], told[0][1][0])
             order = np.argsort(known)
-            at = K.among(K.key(g[a], n), known[order])
+            at = K.among(K.key(g, n), known[order])
             keep = (at >= 0) & ~copy[doc]
             very = keep & (told[0][1][1][order][at] > 0)
         cold = keep & ~very
-        v0, v1, c, d = first[cold], last[cold], a[cold], doc[cold]
+        v0, v1, d = first[cold], last[cold], doc[cold]
         before = np.where(v0 > offs[d], buf[np.maximum(v0 - 1, 0)].astype(np.int64), 256)
         hot_at, echo = K.each(first[very], last[very]), K.home(ids, buf, n, int(very.sum()))
         return [
-            (K.bucket_of(K.key(g[c], n)), [v0.astype(np.uint32), (v1 - v0 + length).astype(np.uint8), before.astype(np.uint16), ids[d], K.Pieces(v0, v1 + length, buf.tobytes())]),
+            (K.bucket_of(K.key(g[cold], n)), [v0.astype(np.uint32), (v1 - v0 + length).astype(np.uint8), before.astype(np.uint16), ids[d], K.Pieces(v0, v1 + length, buf.tobytes())]),
             K.least_sent(*both_hashes(buf, hot_at), ids[C.owner(hot_at, offs)], n),
             (K.home(ids, buf, n, len(gone)), [gone.astype(np.uint32)]),
             (echo, [first[very].astype(np.uint32), last[very].astype(np.uint32)]),
