@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import extensions
 from ..plans import syntax as S
 from . import geo, scalar as A, text as X, times
 
@@ -31,6 +34,9 @@ def _options(args: tuple) -> tuple[list, dict]:
 def call(c, name: str, args: tuple) -> Column:
     """The Column of a call; c: the compiler."""
     args, options = _options(args)
+    for kind in ("function", "selector", "applier"):
+        if own := extensions.find(kind, name):
+            return own(*map(c.value, args), **options)
     lit = lambda k, d=None: args[k].value if len(args) > k and isinstance(args[k], S.Lit) else d
     v = lambda k: c.value(args[k])
     if name in PLAIN:
@@ -75,22 +81,92 @@ def call(c, name: str, args: tuple) -> Column:
     if name == "query_parallel_or":
         return reduce(lambda p, q: p | q, [c.truth(S.parse_query(a.value, lit(0))) for a in args[1:]])
     if name == "fuzzy_search":
-        return A.fuzzy_distance(v(0), lit(1), int(options.get("prefix_length", 0)), bool(options.get("with_transposition", True))) <= int(options.get("max_distance", 1))
-    if name == "geo_distance":
-        return geo.distance(v(0), v(1), lit(2, "rectangle"))
-    if name == "geo_in_circle":
-        return geo.in_circle(v(0), v(1), v(2), lit(3, "rectangle"))
-    if name == "geo_in_rectangle":
-        return geo.in_rectangle(v(0), v(1), v(2))
+        return fuzzy(c, args, options)[0]
+    if name == "prefix_rk_search":
+        return F.translate(v(0), X._HIRA, X._KATA).rlike("^(?:" + X.kana_pattern(str(lit(1))) + ")")
+    if name in ("snippet", "snippet_html"):
+        return snippet(c, name, args, options)
+    if name.startswith("geo_"):
+        points = [geo.at(a.value) if isinstance(a, S.Lit) and isinstance(a.value, str) and k < 3 and re.fullmatch(r"\s*-?[\d.]+[x,]-?[\d.]+\s*", a.value) else _point(c, a) for k, a in enumerate(args[:3])]
+        if name == "geo_distance":
+            return geo.distance(*points[:2], lit(2, "rectangle"))
+        if name == "geo_in_circle":
+            radius = geo.distance(points[1], points[2], lit(3, "rectangle")) if isinstance(lit(2), str) else points[2]
+            return geo.in_circle(*points[:2], radius, lit(3, "rectangle"))
+        if name == "geo_in_rectangle":
+            return geo.in_rectangle(*points)
     if name in ("highlight_html", "highlight_full", "highlight"):
-        words = [a.value for a in args[1:] if isinstance(a, S.Lit) and isinstance(a.value, str)]
-        return A.highlight_html(v(0), words)
+        return highlight(c, name, args, options)
     if name in SCORES:
         return SCORES[name](c, args)
     raise S.SyntaxProblem(f"no function {name}")
 
 
+def _point(c, arg) -> Column:
+    """A point of an argument; a column of texts is read as points."""
+    x = c.value(arg)
+    return geo.from_text(x) if isinstance(c.kind(x), T.StringType) else x
+
+
+def _tagged(c, said: list, options: dict) -> list[tuple[str, str, str]]:
+    """(keyword, opening, closing) of the rest of the arguments, or of the default tags.
+
+    Without keywords they are those of the select's own conditions.
+    """
+    if options.get("sequential_class_tag_mode"):
+        return [(w, f'<mark class="keyword-{i}">', "</mark>") for i, w in enumerate(said or c.keywords)]
+    if "default_open_tag" in options:
+        return [(w, options["default_open_tag"], options.get("default_close_tag", "")) for w in said or c.keywords]
+    if len(said) % 3:
+        raise S.SyntaxProblem("keywords come with an opening and a closing tag each")
+    return list(zip(said[::3], said[1::3], said[2::3]))
+
+
+def _said(args) -> list[str]:
+    return [str(a.value) for a in args if isinstance(a, S.Lit)]
+
+
+def highlight(c, name: str, args: list, options: dict) -> Column:
+    x = c.value(args[0])
+    if name == "highlight_html":
+        words = _said(args[1:]) or c.keywords
+        if options.get("sequential_class_tag_mode"):
+            return A.highlight(x, _tagged(c, words, options), escape=True)
+        return A.highlight_html(x, words)
+    if name == "highlight_full":
+        normalizer, escape = args[1].value, bool(args[2].value)
+        return A.highlight(x, _tagged(c, _said(args[3:]), options), escape, normalizer not in ("", None, "NormalizerNone"))
+    escape = bool(options.get("html_mode", options.get("html_escape", False)))
+    fold = options.get("normalizers", options.get("normalizer", "NormalizerAuto")) not in ("", None)
+    return A.highlight(x, _tagged(c, _said(args[1:]), options), escape, fold)
+
+
+def snippet(c, name: str, args: list, options: dict) -> Column:
+    x = c.value(args[0])
+    html = name == "snippet_html"
+    words = [(w, '<span class="keyword">', "</span>") for w in _said(args[1:]) or c.keywords] if html else _tagged(c, _said(args[1:]), options)
+    got = A.snippets(x, words, int(options.get("width", 200)), int(options.get("max_n_results", 3)), escape=html or bool(options.get("html_escape")), prefix=options.get("prefix") or "", suffix=options.get("suffix") or "", skip_leading_spaces=bool(options.get("skip_leading_spaces", True)))
+    default = options.get("default")
+    return F.when(F.size(got) > 0, got).otherwise(F.lit(None) if default is None else F.array(F.lit(default)))
+
+
+def fuzzy(c, args: list, options: dict) -> tuple[Column, Column]:
+    """(whether a text is near enough, the score of it: max_distance - distance + 1)."""
+    at = lambda k, name, d: args[k].value if len(args) > k and isinstance(args[k], S.Lit) else options.get(name, d)
+    most, prefix, swaps = int(at(2, "max_distance", 1)), int(at(3, "prefix_length", 0)), bool(options.get("with_transposition", at(5, "", True)))
+    d = A.fuzzy_distance(c.value(args[0]), args[1].value, prefix, swaps)
+    return d <= most, F.when(d <= most, F.lit(float(most + 1)) - d).otherwise(0.0)
+
+
+def _tf_idf(c, args) -> Column:
+    """max(tf * ln(N / df), 1), df and N counted over the records that are asked."""
+    tf = c.score(S.Binary("@", args[0], args[1]))
+    n = c.df.agg(F.count("*").alias("n"), F.count_if(tf > 0).alias("df")).first()
+    return F.when(tf > 0, F.greatest(tf * math.log(n["n"] / n["df"]), F.lit(1.0))).otherwise(0.0) if n["df"] else F.lit(0.0)
+
+
 SCORES = {
     "scorer_tf_at_most": lambda c, args: F.least(c.score(S.Binary("@", args[0], args[1])), F.lit(float(args[2].value))),
-    "fuzzy_search": lambda c, args: F.greatest(F.lit(0.0), F.lit(2.0) - A.fuzzy_distance(c.value(args[0]), args[1].value, 0, True)),
+    "scorer_tf_idf": _tf_idf,
+    "fuzzy_search": lambda c, args: fuzzy(c, *_options(args))[1],
 }

@@ -65,25 +65,60 @@ def string_slice_regexp(x: Column, pattern: str, group=0, default: str = "") ->
     return F.when(x.rlike(pattern), F.regexp_extract(x, pattern, group)).otherwise(F.lit(default))
 
 
-def highlight(x: Column, words: list[str], opening: str, closing: str) -> Column:
-    """Every occurrence of a word between the two tags, whatever its case."""
+def keyword_pattern(word: str) -> str:
+    """A pattern of a keyword in either case and width."""
+    out = ""
+    for c in word:
+        same = {c, c.lower(), c.upper()}
+        same |= {chr(ord(x) + 0xFEE0) for x in same if "!" <= x <= "~"} | {chr(ord(x) - 0xFEE0) for x in same if "！" <= x <= "～"}
+        same |= {y for x in same for y in (x.lower(), x.upper())}
+        single = sorted(x for x in same if len(x) == 1)
+        out += "[" + "".join("\\" + x if x in r"\[]^-&" else x for x in single) + "]"
+    return out
+
+
+def highlight(x: Column, words: list[tuple[str, str, str]], escape: bool = False, fold: bool = True) -> Column:
+    """Every occurrence of a keyword between its two tags; words: (keyword, opening, closing).
+
+    fold: in either case and width; escape: what stands for itself in HTML is escaped, tags are not. Of
+    several keywords at one place the longest counts.
+    """
+    words = [w for w in words if w[0]]
     if not words:
-        return x
-    any_ = "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True))
-    tag = lambda t: t.replace("\\", "\\\\").replace("$", "\\$")
-    return F.regexp_replace(x, f"(?i)({any_})", f"{tag(opening)}$1{tag(closing)}")
+        return X.escape_html(x) if escape else x
+    order = sorted(dict.fromkeys(words), key=lambda w: -len(w[0]))
+    pattern = lambda w: keyword_pattern(w) if fold else re.escape(w)
+    mark = [(chr(0xE000 + 2 * i), chr(0xE001 + 2 * i)) for i in range(len(order))]
+    some = "|".join(f"({pattern(w)})" for w, _, _ in order)
+    # One pass: each keyword has a group of its own, and a group that didn't match adds its two marks around nothing.
+    x = F.regexp_replace(x, some, "".join(f"{a}${i + 1}{b}" for i, (a, b) in enumerate(mark)))
+    x = X.escape_html(x) if escape else x
+    for (a, b), (_, opening, closing) in zip(mark, order):
+        x = F.replace(F.replace(F.replace(x, F.lit(a + b), F.lit("")), F.lit(a), F.lit(opening)), F.lit(b), F.lit(closing))
+    return x
 
 
 def highlight_html(x: Column, words: list[str], opening: str = '<span class="keyword">', closing: str = "</span>") -> Column:
-    return highlight(X.escape_html(x), words, opening, closing)
+    return highlight(x, [(w, opening, closing) for w in words], escape=True)
+
+
+def snippets(x: Column, words, width: int = 200, most: int = 3, opening: str = "[[", closing: str = "]]", escape: bool = False, prefix: str = "", suffix: str = "", skip_leading_spaces: bool = True) -> Column:
+    """At most so many pieces of about width characters around the keywords, which stand between tags; pieces don't overlap.
+
+    words: keywords, or (keyword, opening, closing).
+    """
+    words = [w if isinstance(w, tuple) else (w, opening, closing) for w in words]
+    if not words:
+        return F.array().cast("array<string>")
+    some = "|".join(keyword_pattern(w) for w, _, _ in sorted(words, key=lambda w: -len(w[0])))
+    side = max((width - max(len(w) for w, _, _ in words)) // 2, 0)
+    found = F.regexp_extract_all(x, F.lit(f"((?s:.{{0,{side}}}?)(?:{some})(?s:.{{0,{side}}}))"), F.lit(1))
 
+    def dress(s):
+        s = F.ltrim(s) if skip_leading_spaces else s
+        return F.concat(F.lit(prefix), highlight(s, words, escape), F.lit(suffix))
 
-def snippets(x: Column, words: list[str], width: int = 100, most: int = 3, opening: str = "[[", closing: str = "]]") -> Column:
-    """At most so many pieces of about width characters around the words, the words between the tags; pieces don't overlap."""
-    any_ = "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True))
-    side = max((width - max(map(len, words), default=0)) // 2, 0)
-    found = F.regexp_extract_all(x, F.lit(f"(?is)(.{{0,{side}}}(?:{any_}).{{0,{side}}})"), F.lit(1))
-    return F.transform(F.slice(found, 1, most), lambda s: highlight(s, words, opening, closing))
+    return F.transform(F.slice(found, 1, most), dress)
 
 
 def fuzzy_distance(x: Column, query: str, prefix_length: int = 0, transposition: bool = True) -> Column:

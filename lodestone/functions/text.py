@@ -6,10 +6,13 @@ Everything is a Column expression inside one scan; positions are those of words.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import extensions
+
 WORD = r"[\p{L}\p{N}_]+"
 
 
@@ -21,30 +24,155 @@ _KATA = "".join(chr(c) for c in range(0x30A1, 0x30F7))
 _MARKED = "àáâãäåāçćčèéêëēìíîïīñńòóôõöøōùúûüūýÿžźżšśđðłß"
 _PLAIN = "aaaaaaaccceeeeeiiiiinnooooooouuuuuyyzzzssddls"
 _HYPHENS = "‐‑‒–—―−﹣－"
+_PROLONGED = "ー—―─━ｰ〜"
+_DOTS = "·ᐧ•∙⋅⸱・･"
+_ITERATION = "々〻ゝヽゞヾ"
+_SMALL, _LARGE = "ぁぃぅぇぉっゃゅょゎゕゖァィゥェォッャュョヮヵヶ", "あいうえおつやゆよわかけアイウエオツヤユヨワカケ"
+_VOICED = "がぎぐげござじずぜぞだぢづでどばびぶべぼぱぴぷぺぽガギグゲゴザジズゼゾダヂヅデドバビブベボパピプペポヴ"
+_UNVOICED = "かきくけこさしすせそたちつてとはひふへほはひふへほカキクケコサシスセソタチツテトハヒフヘホハヒフヘホウ"
+
+# The spelling of kana in Latin letters (Hepburn and the usual variants), longest first when read.
+ROMAJI = {
+    "ア": "a", "イ": "i", "ウ": "u", "エ": "e", "オ": "o", "カ": "ka", "キ": "ki", "ク": "ku", "ケ": "ke", "コ": "ko", "サ": "sa", "シ": "shi", "ス": "su", "セ": "se", "ソ": "so",
+    "タ": "ta", "チ": "chi", "ツ": "tsu", "テ": "te", "ト": "to", "ナ": "na", "ニ": "ni", "ヌ": "nu", "ネ": "ne", "ノ": "no", "ハ": "ha", "ヒ": "hi", "フ": "fu", "ヘ": "he", "ホ": "ho",
+    "マ": "ma", "ミ": "mi", "ム": "mu", "メ": "me", "モ": "mo", "ヤ": "ya", "ユ": "yu", "ヨ": "yo", "ラ": "ra", "リ": "ri", "ル": "ru", "レ": "re", "ロ": "ro", "ワ": "wa", "ヲ": "wo", "ン": "n",
+    "ガ": "ga", "ギ": "gi", "グ": "gu", "ゲ": "ge", "ゴ": "go", "ザ": "za", "ジ": "ji", "ズ": "zu", "ゼ": "ze", "ゾ": "zo", "ダ": "da", "ヂ": "ji", "ヅ": "zu", "デ": "de", "ド": "do",
+    "バ": "ba", "ビ": "bi", "ブ": "bu", "ベ": "be", "ボ": "bo", "パ": "pa", "ピ": "pi", "プ": "pu", "ペ": "pe", "ポ": "po", "ヴ": "vu", "ー": "-",
+    "キャ": "kya", "キュ": "kyu", "キョ": "kyo", "シャ": "sha", "シュ": "shu", "ショ": "sho", "チャ": "cha", "チュ": "chu", "チョ": "cho", "ニャ": "nya", "ニュ": "nyu", "ニョ": "nyo",
+    "ヒャ": "hya", "ヒュ": "hyu", "ヒョ": "hyo", "ミャ": "mya", "ミュ": "myu", "ミョ": "myo", "リャ": "rya", "リュ": "ryu", "リョ": "ryo", "ギャ": "gya", "ギュ": "gyu", "ギョ": "gyo",
+    "ジャ": "ja", "ジュ": "ju", "ジョ": "jo", "ビャ": "bya", "ビュ": "byu", "ビョ": "byo", "ピャ": "pya", "ピュ": "pyu", "ピョ": "pyo", "ファ": "fa", "フィ": "fi", "フェ": "fe", "フォ": "fo",
+}
+_SPELLINGS = {"シ": ("si",), "チ": ("ti",), "ツ": ("tu",), "フ": ("hu",), "ジ": ("zi",), "シャ": ("sya",), "シュ": ("syu",), "ショ": ("syo",), "チャ": ("tya",), "チュ": ("tyu",), "チョ": ("tyo",), "ジャ": ("zya", "jya"), "ジュ": ("zyu", "jyu"), "ジョ": ("zyo", "jyo"), "ン": ("nn", "m")}
+# What the katakana options unify, sound by sound.
+_SOUNDS = {
+    "unify_katakana_v_sounds": (("ヴァ", "バ"), ("ヴィ", "ビ"), ("ヴェ", "ベ"), ("ヴォ", "ボ"), ("ヴ", "ブ")), "unify_katakana_bu_sound": (("ヴァ", "ブ"), ("ヴィ", "ブ"), ("ヴェ", "ブ"), ("ヴォ", "ブ"), ("ヴ", "ブ")),
+    "unify_katakana_gu_small_sounds": (("グァ", "ガ"), ("グィ", "ギ"), ("グェ", "ゲ"), ("グォ", "ゴ")), "unify_katakana_di_sound": (("ヂ", "ジ"),), "unify_katakana_wo_sound": (("ヲ", "オ"),),
+    "unify_katakana_zu_small_sounds": (("ズァ", "ザ"), ("ズィ", "ジ"), ("ズェ", "ゼ"), ("ズォ", "ゾ")), "unify_katakana_du_sound": (("ヅ", "ズ"),), "unify_katakana_du_small_sounds": (("ヅァ", "ザ"), ("ヅィ", "ジ"), ("ヅェ", "ゼ"), ("ヅォ", "ゾ")),
+}
+
+
+def fold(text: str) -> str:
+    """What normalize() makes of a literal: lower case, full-width forms to ASCII."""
+    return text.translate(str.maketrans(_FULL, _HALF)).lower()
+
+
+def nfkc(x: Column, form: str = "NFKC") -> Column:
+    """Unicode's compatibility composition, by Arrow batches."""
+    import pyarrow.compute as pc
+
+    @F.arrow_udf("string")
+    def run(texts):
+        return pc.utf8_normalize(texts, form=form)
+
+    return run(x)
+
+
+def _marks(x: Column) -> Column:
+    """Latin letters without their marks."""
+    marked = "".join(c for c in map(chr, range(0xC0, 0x250)) if len(unicodedata.normalize("NFD", c)) > 1)
+    return F.translate(F.translate(x, marked, "".join(unicodedata.normalize("NFD", c)[0] for c in marked)), _MARKED, _PLAIN)
+
+
+def _each(x: Column, pairs) -> Column:
+    for a, b in sorted(pairs, key=lambda p: -len(p[0])):
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return x
+
+
+def _after_vowel(x: Column, mark: str) -> Column:
+    """A prolonged sound mark, or a hyphen, behind kana as the vowel it prolongs."""
+    for vowel, kana in zip("アイウエオン", ("アカサタナハマヤラワガザダバパァャヮ", "イキシチニヒミリギジヂビピィ", "ウクスツヌフムユルグズヅブプヴゥュ", "エケセテネヘメレゲゼデベペェ", "オコソトノホモヨロヲゴゾドボポォョ", "ン")):
+        hira = kana.translate(str.maketrans(_KATA, _HIRA))
+        x = F.regexp_replace(x, f"(?<=[{kana}])[{mark}]", vowel)
+        x = F.regexp_replace(x, f"(?<=[{hira}])[{mark}]", vowel.translate(str.maketrans(_KATA, _HIRA)))
+    return x
 
 
 def normalize(x: Column, normalizer: str = "auto", **options) -> Column:
-    """Lower case, full-width forms to ASCII; options as the normalizers name them."""
-    if normalizer in ("none", ""):
+    """Lower case, full-width forms to ASCII; a name that begins with NormalizerNFKC composes all of Unicode.
+
+    options as the normalizers name them: unify_* and remove_*, strip, each in the order below.
+    """
+    if normalizer in ("none", "", "NormalizerNone"):
         return x
-    x = F.lower(F.translate(x, _FULL, _HALF))
-    if options.get("unify_kana"):
+    if own := extensions.find("normalizer", normalizer):
+        return own(x, **options)
+    if normalizer == "NormalizerHTML":
+        x = normalize_html(x)
+    x = nfkc(x) if normalizer.startswith("NormalizerNFKC") else F.translate(x, _FULL, _HALF)
+    x = F.lower(x)
+    on = lambda *names: any(options.get(n) for n in names)
+    if on("unify_latin_alphabet_with", "unify_alphabet", "remove_accents"):
+        x = _marks(x)
+    if on("unify_iteration_mark"):
+        x = F.regexp_replace(x, f"(.)[{_ITERATION}]", "$1$1")
+    if on("unify_to_katakana"):
+        for latin, kana in sorted(((r, k) for k, rs in {k: (v, *_SPELLINGS.get(k, ())) for k, v in ROMAJI.items()}.items() for r in rs if k not in ("ヂ", "ヅ", "ー", "ン")), key=lambda p: -len(p[0])):
+            x = F.replace(x, F.lit(latin), F.lit(kana))
+        x = F.replace(F.translate(x, _HIRA, _KATA), F.lit("n"), F.lit("ン"))
+    if on("unify_kana"):
         x = F.translate(x, _KATA, _HIRA)
-    if options.get("unify_alphabet") or options.get("remove_accents"):
-        x = F.translate(x, _MARKED, _PLAIN)
-    if options.get("unify_hyphen"):
+    if on("unify_kana_case"):
+        x = F.translate(x, _SMALL, _LARGE)
+    if on("unify_kana_voiced_sound_mark"):
+        x = F.translate(x, _VOICED, _UNVOICED)
+    for name, pairs in _SOUNDS.items():
+        if on(name):
+            x = _each(x, pairs)
+    if on("unify_katakana_trailing_o"):
+        x = F.regexp_replace(x, "(?<=[オコソトノホモヨロゴゾドボポォョ])オ", "ウ")
+    if on("unify_hyphen_and_prolonged_sound_mark"):
+        both = "".join(dict.fromkeys(_HYPHENS + _PROLONGED))
+        x = F.translate(x, both, "-" * len(both))
+    if on("unify_hyphen"):
         x = F.translate(x, _HYPHENS, "-" * len(_HYPHENS))
-    if options.get("remove_blank"):
+    if on("unify_prolonged_sound_mark"):
+        x = F.translate(x, _PROLONGED, "ー" * len(_PROLONGED))
+    if on("unify_kana_prolonged_sound_mark"):
+        x = _after_vowel(x, "ー")
+    if on("unify_kana_hyphen"):
+        x = _after_vowel(x, "-")
+    if on("unify_middle_dot"):
+        x = F.translate(x, _DOTS, "·" * len(_DOTS))
+    if on("unify_to_romaji"):
+        x = F.translate(x, _HIRA, _KATA)
+        x = F.regexp_replace(x, "ッ(?=[カキクケコ])", "k")
+        for first, kana in (("s", "サシスセソ"), ("t", "タツテト"), ("t", "チ"), ("p", "パピプペポ"), ("g", "ガギグゲゴ"), ("b", "バビブベボ")):
+            x = F.regexp_replace(x, f"ッ(?=[{kana}])", first)
+        x = _each(F.regexp_replace(x, "ン(?=[アイウエオヤユヨ])", "n'"), ROMAJI.items())
+    if on("remove_blank", "remove_blank_force"):
         x = F.regexp_replace(x, r"\s+", "")
-    if options.get("remove_new_line"):
+    if on("remove_new_line"):
         x = F.regexp_replace(x, r"[\r\n]+", "")
-    if options.get("remove_symbol"):
+    if on("remove_symbol"):
         x = F.regexp_replace(x, r"[\p{P}\p{S}]+", "")
-    if options.get("strip"):
+    if on("strip"):
         x = F.trim(x)
     return x
 
 
+def kana_pattern(query: str) -> str:
+    """A pattern of katakana readings that begin as the query does, which is in Latin letters or kana."""
+    text = fold(query).translate(str.maketrans(_HIRA, _KATA))
+    spelled = sorted(((r, k) for k, v in ROMAJI.items() for r in (v, *_SPELLINGS.get(k, ()))), key=lambda p: -len(p[0]))
+    out, at = "", 0
+    while at < len(text):
+        rest = text[at:]
+        if not re.match("[a-z-]", rest):
+            out, at = out + re.escape(rest[0]), at + 1
+            continue
+        if len(rest) > 1 and rest[0] == rest[1] and rest[0] not in "aiueon-":
+            out, at = out + "ッ", at + 1
+            continue
+        length = next((len(r) for r, _ in spelled if rest.startswith(r) and not (r in ("n", "m") and len(rest) > 1 and rest[1] in "aiueoy")), 0)
+        if length and not (rest == "n"):
+            out, at = out + "(?:" + "|".join(sorted({re.escape(k) for r, k in spelled if r == rest[:length]})) + ")", at + length
+            continue
+        begun = sorted({k for r, k in spelled if r.startswith(rest)})  # a sound that isn't written out
+        return out + ("(?:" + "|".join(map(re.escape, begun)) + "|ッ)" if begun else re.escape(rest))
+    return out
+
+
 def normalize_html(x: Column) -> Column:
     """The text of HTML: tags away, the five entities back."""
     return unescape_html(html_untag(x))
@@ -92,6 +220,8 @@ def _bigram(x: Column, n: int, split_alpha=False, split_digit=False, split_symbo
 
 def tokenize(x: Column, tokenizer: str = "TokenWord", normalizer: str = "auto", **options) -> Column:
     """The tokens of a text in order, by the tokenizer's name."""
+    if own := extensions.find("tokenizer", tokenizer):
+        return own(F.coalesce(x, F.lit("")), **options)
     x = F.coalesce(normalize(x, normalizer), F.lit(""))
     grams = {"TokenUnigram": 1, "TokenBigram": 2, "TokenTrigram": 3}
     m = re.fullmatch(r"TokenBigram(IgnoreBlank)?(SplitSymbol)?(Alpha)?(Digit)?", tokenizer)
@@ -127,6 +257,40 @@ def stop_words(tokens: Column, words) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(list(words)))
 
 
+def token_filter(tokens: Column, name: str, **options) -> Column:
+    """What a token filter, by its name, makes of an array of tokens."""
+    if own := extensions.find("token_filter", name):
+        return own(tokens, **options)
+    if name == "TokenFilterStopWord":
+        return stop_words(tokens, options.get("words", ()))
+    if name.startswith("TokenFilterNFKC"):
+        return _each_token(tokens, name.replace("TokenFilter", "Normalizer"), options)
+    if name == "TokenFilterStem":
+        return F.transform(tokens, stem)
+    raise ValueError(f"no token filter {name}")
+
+
+def _each_token(tokens: Column, normalizer: str, options: dict) -> Column:
+    """All tokens composed in one call, parted again, then the options for each."""
+    joined = nfkc(F.array_join(tokens, "\x1f"))
+    return F.filter(F.transform(F.split(joined, "\x1f"), lambda t: normalize(t, "auto", **options)), lambda t: t != "")
+
+
+#: The longest suffixes of the second step of the usual English stemmer, and what stays.
+_SUFFIXES = (("ational", "ate"), ("tional", "tion"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("biliti", "ble"), ("aliti", "al"), ("iviti", "ive"), ("entli", "ent"), ("ousli", "ous"), ("alli", "al"))
+
+
+def stem(t: Column) -> Column:
+    """English words without plural, -ed, -ing and a few longer endings, by expressions alone; others as they are."""
+    plural = F.when(t.endswith("sses"), F.regexp_replace(t, "sses$", "ss")).when(t.rlike("[a-z]{2}ies$"), F.regexp_replace(t, "ies$", "i")).when(t.rlike("[^aeiou]*[aeiouy].*[^su]s$"), F.regexp_replace(t, "s$", "")).otherwise(t)
+    cut = F.regexp_replace(plural, "^(.*[aeiouy].*?)(?:ingly|edly|ing|ed)$", "$1")
+    again = F.when(cut == plural, cut).when(cut.rlike("(at|bl|iz)$"), F.concat(cut, F.lit("e"))).when(cut.rlike("([bdfgmnprt])\\1$"), F.regexp_replace(cut, ".$", "")).otherwise(cut)
+    out = F.regexp_replace(again, "^(.*[aeiouy].*)y$", "$1i")
+    for ending, short in _SUFFIXES:
+        out = F.regexp_replace(out, f"^(.*[aeiouy][^aeiouy].*?){ending}$", f"$1{short}")
+    return F.when(F.char_length(t) <= 2, t).otherwise(out)
+
+
 def normalize_table(x: Column, table: dict[str, str]) -> Column:
     """Replace by a table, the longest keys first."""
     for k in sorted(table, key=lambda k: (-len(k), k)):
@@ -136,12 +300,12 @@ def normalize_table(x: Column, table: dict[str, str]) -> Column:
 
 # ---- predicates -----------------------------------------------------------------------------------
 def words_of(text: str) -> list[str]:
-    return re.findall(r"\w+", text.lower())
+    return re.findall(r"\w+", fold(text))
 
 
 def match(x: Column, text: str) -> Column:
     """The normalized text stands somewhere in x."""
-    return F.contains(normalize(x), F.lit(text.lower()))
+    return F.contains(normalize(x), F.lit(fold(text)))
 
 
 def occurrences(x: Column, text: str) -> Column:
@@ -149,7 +313,7 @@ def occurrences(x: Column, text: str) -> Column:
     if not text:
         return F.lit(0)
     n = normalize(x)
-    return F.floor((F.char_length(n) - F.char_length(F.replace(n, F.lit(text.lower()), F.lit("")))) / len(text)).cast("int")
+    return F.floor((F.char_length(n) - F.char_length(F.replace(n, F.lit(fold(text)), F.lit("")))) / len(fold(text))).cast("int")
 
 
 def let(x: Column, f) -> Column:
@@ -196,6 +360,20 @@ def near(tokens: Column, phrases: list[list[str]], most: int = 10, least: int |
     return F.coalesce(let(every, lambda found: down(found, [])), F.lit(False))
 
 
+def has_all(x: Column, words) -> Column:
+    """Whether every word stands somewhere in the normalized text, be it inside a longer one: asked before a text is tokenized."""
+    n = normalize(x)
+    out = F.lit(True)
+    for w in sorted(set(words), key=lambda w: (-len(w), w)):
+        out = out & F.contains(n, F.lit(w))
+    return out
+
+
+def phrase(x: Column, words: list[str]) -> Column:
+    """Whether the words stand one after another; texts that lack one are not tokenized."""
+    return F.when(has_all(x, words), F.size(places(tokenize(x), words)) > 0).otherwise(False)
+
+
 def product(text: str) -> list[list[list[str]]]:
     """'(abc bcd) (ef)' -> every choice of one phrase from each group."""
     groups = [g.split() for g in re.findall(r"\(([^)]*)\)", text)] or [[w] for w in text.split()]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,20 +56,22 @@ def each(x: Column, classify) -> Column:
 
 
 #: strftime's letters as the date patterns of Spark (fixed values).
-_LETTERS = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "y": "yy", "B": "MMMM", "b": "MMM", "A": "EEEE", "a": "EEE", "p": "a", "I": "hh", "j": "DDD", "z": "xx", "Z": "z", "F": "yyyy-MM-dd", "T": "HH:mm:ss", "%": "'%'"}
+_LETTERS = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "y": "yy", "B": "MMMM", "b": "MMM", "A": "EEEE", "a": "EEE", "p": "a", "I": "hh", "j": "DDD", "z": "xx", "Z": "z", "F": "yyyy-MM-dd", "T": "HH:mm:ss"}
 
 
 def format(x: Column, pattern: str) -> Column:
     """strftime."""
-    out, i, plain = "", 0, ""
-    for i, c in enumerate(pattern):
-        if i and pattern[i - 1] == "%" and (i < 2 or pattern[i - 2] != "%"):
-            if c not in _LETTERS:
-                raise ValueError(f"no format letter {c}")
-            out, plain = out + (f"'{plain}'" if plain else "") + _LETTERS[c], ""
-        elif c != "%":
-            plain += c.replace("'", "''")
-    return F.date_format(x, out + (f"'{plain}'" if plain else ""))
+    pieces, plain = [], ""
+    for m in re.finditer(r"%(.)|([^%]+|%$)", pattern, re.S):
+        letter, text = m[1], m[2]
+        if letter == "%" or text:
+            plain += text or "%"
+            continue
+        if letter not in _LETTERS:
+            raise ValueError(f"no format letter {letter}")
+        pieces += [F.lit(plain), F.date_format(x, _LETTERS[letter])]
+        plain = ""
+    return F.concat(*pieces, F.lit(plain)) if pieces else F.when(x.isNotNull(), F.lit(plain))
 
 
 def format_iso8601(x: Column) -> Column:

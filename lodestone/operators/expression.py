@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import extensions
 from ..functions import registry, text as X
 from ..plans import syntax as S
 
@@ -25,9 +26,16 @@ _SHIFT = {"<<": "shiftleft", ">>": "shiftright", ">>>": "shiftrightunsigned"}
 _ARITHMETIC = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b}
 _TEXT = {"@", "@^", "@$", "@~", "@^word"}
 _NEAR = {"*N", "*NP", "*ONP", "*NPP", "*ONPP"}
+#: What an unset value of a type reads as.
+DEFAULTS = {T.StringType: "", T.BooleanType: False, T.ByteType: 0, T.ShortType: 0, T.IntegerType: 0, T.LongType: 0, T.FloatType: 0.0, T.DoubleType: 0.0}
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def java_pattern(pattern: str) -> str:
     r"""A regular expression of the script language as Java takes it: \h is a hex digit, \A and \z stay, named groups stay."""
     if re.search(r"\\[kgKRX]|\(\?~", pattern):
@@ -36,20 +44,27 @@ def java_pattern(pattern: str) -> str:
 
 
 class Compiler:
-    """Columns for trees over df; tables: the DataFrames that record literals and sub filters name."""
+    """Columns for trees over df; tables: the DataFrames that record literals name; keywords: those of the conditions, for highlighting."""
 
-    def __init__(self, df: DataFrame, tables: dict[str, DataFrame] | None = None, key: str | None = None):
-        self.df, self.tables, self.key = df, tables or {}, key
+    def __init__(self, df: DataFrame, tables: dict[str, DataFrame] | None = None, key: str | None = None, keywords: list[str] | None = None):
+        self.df, self.tables, self.key, self.keywords = df, tables or {}, key, keywords or []
+        self.kinds = {f.name: f.dataType for f in df.schema}
+        self._known: dict[str, T.DataType] = {}
 
     def kind(self, c: Column) -> T.DataType:
-        return self.df.select(c.alias("_")).schema[0].dataType
+        said = str(c)
+        if said not in self._known:
+            name = said.removeprefix("Column<'").removesuffix("'>").strip("`")
+            self._known[said] = self.kinds[name] if name in self.kinds else self.df.select(c.alias("_")).schema[0].dataType
+        return self._known[said]
 
     # -- values --------------------------------------------------------------------------------
     def value(self, node) -> Column:
         if isinstance(node, S.Lit):
             return F.lit(node.value)
         if isinstance(node, S.Name):
-            return F.col(self.key if node.path == "_key" and self.key and "_key" not in self.df.columns else node.path)
+            path = self.key if node.path == "_key" and self.key and "_key" not in self.kinds else node.path
+            return quoted(path) if path in self.kinds else F.col(path)
         if isinstance(node, S.Listing):
             return F.array(*map(self.value, node.items))
         if isinstance(node, S.Element):
@@ -115,13 +130,14 @@ class Compiler:
                 return self.truth(node.left)  # a score only
             if op in _COMPARE:
                 return F.coalesce(self.compare(op, node.left, node.right), F.lit(False))
-            if op in _TEXT or op[0] == "*":
-                if op not in ("*",):
-                    return F.coalesce(self.search(node), F.lit(False))
+            if op in _TEXT or (op[0] == "*" and op != "*"):
+                return F.coalesce(self.search(node), F.lit(False))
         if isinstance(node, S.Unary) and node.op == "!":
             return ~self.truth(node.x)
         if isinstance(node, S.Call) and node.name == "weighted":
             return self.truth(node.args[0])
+        if isinstance(node, S.Call) and (node.name.startswith("scorer_") or extensions.find("scorer", node.name)):
+            return self.truth(S.Binary("@", node.args[0], node.args[1]))
         x = self.value(node)
         kind = self.kind(x)
         if isinstance(kind, T.BooleanType):
@@ -142,6 +158,28 @@ class Compiler:
             return F.exists(a, lambda x: _COMPARE[op](x, b))
         if op in ("==", "!=") and isinstance(right, S.Lit) and right.value is None:
             return a.isNull() if op == "==" else a.isNotNull()
+        return self.with_defaults(op, (left, a), (right, b))
+
+    def with_defaults(self, op: str, left, right) -> Column:
+        """A comparison in which an unset value reads as its type's default.
+
+        Against a literal that is told here already, so the comparison itself still reaches the scan.
+        """
+        (x, a), (y, b) = left, right
+        if isinstance(x, S.Lit) and not isinstance(y, S.Lit):
+            flip = {"<": ">", ">": "<", "<=": ">=", ">=": "<="}
+            return self.with_defaults(flip.get(op, op), right, left)
+        default = DEFAULTS.get(type(self.kind(a))) if not isinstance(x, S.Lit) else None
+        if isinstance(y, S.Lit):
+            try:
+                holds = default is not None and y.value is not None and _COMPARE[op](default, type(default)(y.value) if isinstance(default, str) else y.value)
+            except TypeError:
+                holds = False
+            said = _COMPARE[op](a, b)
+            return said | a.isNull() if holds else said
+        other = DEFAULTS.get(type(self.kind(b)))
+        if default is not None and other is not None:
+            a, b = F.coalesce(a, F.lit(default)), F.coalesce(b, F.lit(other))
         return _COMPARE[op](a, b)
 
     def search(self, node: S.Binary) -> Column:
@@ -158,28 +196,30 @@ class Compiler:
                 if op == "@$":
                     return F.endswith(c, F.lit(said) if said is not None else self.value(arg))
                 if op == "@^word":
-                    return X.normalize(c).rlike(r"(?<![\p{L}\p{N}_])" + re.escape(str(said).lower()))
+                    return X.normalize(c).rlike(r"(?<![\p{L}\p{N}_])" + re.escape(X.fold(str(said))))
                 if said is not None:
                     return X.match(c, str(said))
-                return F.contains(X.normalize(c), F.lower(self.value(arg)))
+                return F.contains(X.normalize(c), X.normalize(self.value(arg)))
 
             if isinstance(self.kind(x), T.ArrayType):
-                return F.exists(x, (lambda e: X.normalize(e.cast("string")) == str(said).lower()) if op == "@" else one)
+                return F.exists(x, (lambda e: X.normalize(e.cast("string")) == X.fold(str(said))) if op == "@" else one)
             return one(x.cast("string"))
         words = str(arg.value)
         if op in _NEAR:
             most, least = _intervals(node.options)
             tokens, ordered = X.tokenize(x), op.startswith("*O")
             if op.endswith("PP"):
-                return X.let(tokens, lambda t: reduce(lambda p, q: p | q, [X.near(t, c, most, least, ordered) for c in X.product(words)]))
+                choices = X.product(words)
+                common = set.intersection(*[{w for p in c for w in p} for c in choices]) if choices else set()
+                return X.has_all(x, common) & X.let(tokens, lambda t: reduce(lambda p, q: p | q, [X.near(t, c, most, least, ordered) for c in choices]))
             phrases = [X.words_of(p[1] or p[2]) for p in re.finditer(r'"([^"]*)"|(\S+)', words)]
-            return X.near(tokens, phrases, most, least, ordered)
+            return X.has_all(x, {w for p in phrases for w in p}) & X.near(tokens, phrases, most, least, ordered)
         if op == "*Q":
             return X.quorum(x, words.split()) >= int((node.options or ("1",))[0] or 1)
         if op == "*S":
             return similarity(X.tokenize(x), X.words_of(words)) >= int((node.options or ("1",))[0] or 1)
         if op == "*T":
-            return F.contains(F.lit(words.lower()), X.normalize(x)) & (x != "")
+            return F.contains(F.lit(X.fold(words)), X.normalize(x)) & (x != "")
         raise S.SyntaxProblem(f"no operator {op}")
 
     # -- scores --------------------------------------------------------------------------------
@@ -200,7 +240,7 @@ class Compiler:
             if op == "@" and isinstance(node.right, S.Lit):
                 x = self.value(node.left)
                 if isinstance(self.kind(x), T.ArrayType):
-                    return F.size(F.filter(x, lambda e: X.normalize(e.cast("string")) == str(node.right.value).lower())).cast("double")
+                    return F.size(F.filter(x, lambda e: X.normalize(e.cast("string")) == X.fold(str(node.right.value)))).cast("double")
                 return X.occurrences(x.cast("string"), str(node.right.value)).cast("double")
             if op == "*Q":
                 return F.when(self.truth(node), X.quorum(self.value(node.left), str(node.right.value).split())).otherwise(0).cast("double")
@@ -209,6 +249,9 @@ class Compiler:
         if isinstance(node, S.Call):
             if node.name == "weighted":
                 return self.score(node.args[0]) * F.lit(float(node.args[1].value))
+            if own := extensions.find("scorer", node.name):
+                tf = self.score(S.Binary("@", node.args[0], node.args[1])) if len(node.args) > 1 else F.lit(1.0)
+                return own(tf, *map(self.value, node.args)).cast("double")
             if node.name in registry.SCORES:
                 return registry.SCORES[node.name](self, node.args)
         return F.when(self.truth(node), F.lit(1.0)).otherwise(F.lit(0.0))
@@ -233,3 +276,28 @@ def condition(df: DataFrame, script: str, **context) -> Column:
 
 def value(df: DataFrame, script: str, **context) -> Column:
     return Compiler(df, **context).value(S.parse_script(script))
+
+
+def keywords(*trees) -> list[str]:
+    """The words and phrases that conditions look for, in their order, without those that must not be there."""
+    out: list[str] = []
+
+    def walk(node):
+        if isinstance(node, S.Unary) and node.op == "!":
+            return
+        if isinstance(node, S.Binary):
+            if node.op == "&!":
+                return walk(node.left)
+            said = node.right.left if isinstance(node.right, S.Binary) and node.right.op == "*" else node.right
+            if node.op in ("@", "@^word") and isinstance(said, S.Lit):
+                out.append(str(said.value))
+                return
+            if node.op in _NEAR or node.op in ("*Q", "*S"):
+                out.extend(re.findall(r"\w+", str(said.value)))
+                return
+        for x in S.parts(node):
+            walk(x)
+
+    for t in trees:
+        walk(t)
+    return list(dict.fromkeys(w for w in out if w))

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from .expression import Compiler
 from ..plans import syntax as S
+from .expression import Compiler
+from .tables import MODES, in_records_flag
 
 
 def reference(df: DataFrame, table: DataFrame, column: str, key: str, prefix: str = "") -> DataFrame:
@@ -41,28 +42,17 @@ def sub_filter(df: DataFrame, column: str, table: DataFrame, key: str, condition
     return df.join(keep, F.col(column) == F.col("_ref"), "left_anti" if anti else "left_semi")
 
 
-_MODES = {
-    "EQUAL": lambda v, c: v == c, "NOT_EQUAL": lambda v, c: v != c, "LESS": lambda v, c: v < c, "GREATER": lambda v, c: v > c,
-    "LESS_EQUAL": lambda v, c: v <= c, "GREATER_EQUAL": lambda v, c: v >= c, "MATCH": lambda v, c: F.contains(F.lower(v), F.lower(c)),
-    "PREFIX": lambda v, c: F.startswith(v, c), "SUFFIX": lambda v, c: F.endswith(v, c), "REGEXP": lambda v, c: F.regexp_like(v, c),
-}
-
-
-def in_records(df: DataFrame, conditions: DataFrame, *triples: tuple[Column, str, str], most: int = 1000) -> DataFrame:
+def in_records(df: DataFrame, conditions: DataFrame, *triples: tuple[Column, str, str]) -> DataFrame:
     """The records that satisfy some row of conditions: every (value, mode, column of conditions) of it.
 
-    With an equality the join goes by that key. Without one the rows become a condition on the scan; there
-    may be at most so many of them then, and more is an error, not a cut.
+    With an equality the semi-join goes by that key. Without one the conditions are asked in blocks, each a
+    condition of the scan, however many there are.
     """
     if any(mode == "EQUAL" for _, mode, _ in triples):
         renamed = conditions.select(*[F.col(c).alias(f"_c_{c}") for c in conditions.columns]).distinct()
-        on = reduce(lambda a, b: a & b, [_MODES[mode](value, F.col(f"_c_{c}")) for value, mode, c in triples])
+        on = reduce(lambda a, b: a & b, [MODES[mode](value, F.col(f"_c_{c}")) for value, mode, c in triples])
         return df.join(renamed, on, "left_semi")
-    rows = conditions.select(*[c for _, _, c in triples]).distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"in_records: more than {most} conditions without an equality")
-    one = lambda r: reduce(lambda a, b: a & b, [_MODES[mode](value, F.lit(r[c])) for value, mode, c in triples])
-    return df.where(reduce(lambda a, b: a | b, map(one, rows), F.lit(False)))
+    return in_records_flag(df, conditions, triples, None, "__hit").where("__hit").drop("__hit")
 
 
 def nearest(df: DataFrame, vector: str, to: list[float], k: int, key: str, distance=scalar.distance_cosine) -> DataFrame:

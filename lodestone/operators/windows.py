@@ -1,15 +1,21 @@
-"""Window functions: row numbers, ranks, sums and counts, running when sorted and total otherwise."""
+"""Window functions: row numbers, ranks, sums and counts, running when sorted and total otherwise.
+
+Without group keys the whole table is one group, and Spark sorts it in one task: name group keys for what is
+large, or number records by tables.with_id(), which parts them by their key.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from ..plans import syntax as S
+from .expression import quoted
 from .facets import sort_columns
 
 
 def _spec(group_keys, sort_keys, tie=()):
-    group = [k.strip() for k in (group_keys.split(",") if isinstance(group_keys, str) else group_keys or []) if k.strip()]
+    group = [quoted(k) for k in S.split(group_keys)]
     w = Window.partitionBy(*group)
     order = sort_columns(sort_keys, tie) if sort_keys else []
     return group, order, w.orderBy(*order) if order else w

@@ -7,12 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..operators.expression import Compiler
+from ..operators.expression import DEFAULTS, Compiler
 from ..plans import syntax as S
 
-#: What an unset value of a type reads as.
-DEFAULTS = {T.StringType: "", T.BooleanType: False, T.ByteType: 0, T.ShortType: 0, T.IntegerType: 0, T.LongType: 0, T.FloatType: 0.0, T.DoubleType: 0.0}
-
 
 def table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import select as Q
 from ..operators.facets import sort_columns
+from ..plans import syntax as S
 
 UNITS = {"day": "yyyyMMdd", "month": "yyyyMM"}
 
@@ -54,7 +55,7 @@ def range_filter(df: DataFrame, time: str, least=None, most=None, filter: str |
     got = Q.select(within(df, time, least, most, **borders), filter=filter, columns=columns, post_filter=post_filter, key=key).records
     keys = [time if order == "ascending" else f"-{time}"]
     got = Q.page(got.orderBy(*sort_columns(keys, [key] if key else [])), offset, limit)
-    return got.select(*Q.names(output_columns)) if output_columns else got
+    return got.select(*S.split(output_columns)) if output_columns else got
 
 
 def count(df: DataFrame, time: str, least=None, most=None, filter: str | None = None, **borders) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import geo, scalar as A, text as X, times
-from lodestone.operators import facets, index, joins, windows
+from lodestone.operators import facets, index, joins, tables, windows
 from lodestone.operators.expression import Compiler
 from lodestone.operators.select import escalate, page, select
 from lodestone.plans import syntax as S
@@ -54,8 +54,17 @@ def test_scores_add_and_adjust(spark):
     assert score('scorer_tf_at_most(t, "x", 1)') == 1
 
 
+def test_steps_belong_in_scorers(spark):
+    df = spark.createDataFrame([(1, 5), (2, 7)], "k long, n long")
+    for bad in ("n++", "n++ > 2", "--n"):
+        with pytest.raises(S.SyntaxProblem):
+            select(df, filter=bad)
+    got = select(df, scorer="_score++, n--, _score *= 3", output_columns="k, n, _score", key="k").records
+    assert sorted(map(tuple, got.collect())) == [(1, 4, 6.0), (2, 6, 6.0)]
+
+
 def test_parse_errors():
-    for bad in ("a ==", "(a", "a++", "'x"):
+    for bad in ("a ==", "(a", "1++", "--2", "'x"):
         with pytest.raises(S.SyntaxProblem):
             S.parse_script(bad)
     with pytest.raises(S.SyntaxProblem):
@@ -141,13 +150,15 @@ def test_geo(spark):
     assert spark.range(1).select(across).first()[0]
 
 
-def test_lookups(spark):
+def test_lookups(spark, monkeypatch):
     shops = spark.createDataFrame([(1, ["a", "c"]), (2, [])], "id int, tags array<string>")
     tags = spark.createDataFrame([("a", 10), ("b", 20)], "k string, n int")
     got = {r.id: r.ns for r in joins.reference_vector(shops, tags, "tags", "k", "n", "ns", "id").collect()}
     assert got == {1: [10, None], 2: None}
-    with pytest.raises(ValueError):
-        joins.in_records(spark.range(3), spark.range(5).withColumnRenamed("id", "c"), (F.col("id"), "LESS", "c"), most=2)
+    monkeypatch.setattr(tables, "BLOCK", 2)  # more conditions than one block holds
+    got = joins.in_records(spark.range(9), spark.range(5).withColumnRenamed("id", "c"), (F.col("id"), "LESS", "c"))
+    assert sorted(r.id for r in got.collect()) == [0, 1, 2, 3]
+    assert joins.in_records(spark.range(9), spark.range(0).withColumnRenamed("id", "c"), (F.col("id"), "LESS", "c")).count() == 0
 
 
 def test_upsert_if_exists(spark):
