@@ -57,12 +57,12 @@ def fold(text: str) -> str:
 
 
 def nfkc(x: Column, form: str = "NFKC") -> Column:
-    """Unicode's compatibility composition, by Arrow batches."""
-    import pyarrow.compute as pc
+    """Unicode's compatibility composition, by Arrow batches: Spark has no expression for it."""
+    import pyarrow as pa
 
     @F.arrow_udf("string")
     def run(texts):
-        return pc.utf8_normalize(texts, form=form)
+        return pa.array([t if t is None or t.isascii() else unicodedata.normalize(form, t) for t in texts.to_pylist()], pa.string())
 
     return run(x)
 
@@ -70,7 +70,7 @@ def nfkc(x: Column, form: str = "NFKC") -> Column:
 def _marks(x: Column) -> Column:
     """Latin letters without their marks."""
     marked = "".join(c for c in map(chr, range(0xC0, 0x250)) if len(unicodedata.normalize("NFD", c)) > 1)
-    return F.translate(F.translate(x, marked, "".join(unicodedata.normalize("NFD", c)[0] for c in marked)), _MARKED, _PLAIN)
+    return F.translate(x, marked, "".join(unicodedata.normalize("NFD", c)[0] for c in marked))
 
 
 def _each(x: Column, pairs) -> Column:
@@ -102,8 +102,10 @@ def normalize(x: Column, normalizer: str = "auto", **options) -> Column:
     x = nfkc(x) if normalizer.startswith("NormalizerNFKC") else F.translate(x, _FULL, _HALF)
     x = F.lower(x)
     on = lambda *names: any(options.get(n) for n in names)
-    if on("unify_latin_alphabet_with", "unify_alphabet", "remove_accents"):
+    if on("unify_latin_alphabet_with"):
         x = _marks(x)
+    if on("unify_alphabet", "remove_accents"):  # letters too that are no base with a mark
+        x = F.translate(_marks(x), _MARKED, _PLAIN)
     if on("unify_iteration_mark"):
         x = F.regexp_replace(x, f"(.)[{_ITERATION}]", "$1$1")
     if on("unify_to_katakana"):
@@ -370,8 +372,10 @@ def has_all(x: Column, words) -> Column:
 
 
 def phrase(x: Column, words: list[str]) -> Column:
-    """Whether the words stand one after another; texts that lack one are not tokenized."""
-    return F.when(has_all(x, words), F.size(places(tokenize(x), words)) > 0).otherwise(False)
+    """Whether the words stand one after another, told by one pattern without tokens."""
+    gap = r"[^\p{L}\p{N}_]+"
+    said = r"(?<![\p{L}\p{N}_])" + gap.join(re.escape(fold(w)) for w in words) + r"(?![\p{L}\p{N}_])"
+    return F.coalesce(has_all(x, map(fold, words)) & normalize(x).rlike(said), F.lit(False))
 
 
 def product(text: str) -> list[list[list[str]]]:

@@ -51,8 +51,9 @@ def day_of_week(x: Column) -> Column:
     return F.dayofweek(x) - 1
 
 
-def each(x: Column, classify) -> Column:
-    return F.transform(x, classify)
+def each(x: Column, classify, *arguments) -> Column:
+    """classify of every time of an array; a lambda of two parameters would get the place as the second."""
+    return F.transform(x, lambda t: classify(t, *arguments))
 
 
 #: strftime's letters as the date patterns of Spark (fixed values).

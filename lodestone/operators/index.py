@@ -6,10 +6,14 @@ search for a few tokens reads their buckets alone.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .joins import spread_join
 
 BUCKETS = 64
 
@@ -21,9 +25,26 @@ def postings(df: DataFrame, key: str, column: str, tokenizer: str = "TokenWord",
     return rows.select("token", "key", F.size("positions").alias("tf"), "positions")
 
 
-def frequencies(df: DataFrame, key: str, column: str, tokenizer: str = "TokenWord") -> DataFrame:
-    """(token, key, tf) without positions, summed up before the shuffle."""
-    return df.select(F.col(key).alias("key"), F.explode(X.tokenize(F.col(column), tokenizer)).alias("token")).groupBy("token", "key").agg(F.count("*").alias("tf"))
+def word_pattern(words) -> str:
+    """A pattern of any of the words, whole."""
+    return r"(?<![\p{L}\p{N}_])(" + "|".join(re.escape(w) for w in sorted(set(words), key=lambda w: (-len(w), w))) + r")(?![\p{L}\p{N}_])"
+
+
+def frequencies(df: DataFrame, key: str, column: str, tokenizer: str = "TokenWord", only=None) -> DataFrame:
+    """(token, key, tf) without positions, summed up before the shuffle.
+
+    only: the tokens that are wanted. Records without any fall away before they are tokenized, and of words
+    nothing else is taken out of the text, so a search without a written index moves only what it finds.
+    """
+    x = F.col(column)
+    if only is None:
+        tokens = X.tokenize(x, tokenizer)
+    else:
+        only = sorted({X.fold(w) for w in only})
+        n = X.normalize(x)
+        df = df.where(reduce(lambda a, b: a | b, [F.contains(n, F.lit(w)) for w in only], F.lit(False)))
+        tokens = F.regexp_extract_all(n, F.lit(word_pattern(only)), F.lit(1)) if tokenizer == "TokenWord" else F.filter(X.tokenize(x, tokenizer), lambda t: t.isin(only))
+    return df.select(F.col(key).alias("key"), F.explode(tokens).alias("token")).groupBy("token", "key").agg(F.count("*").alias("tf"))
 
 
 def write(p: DataFrame, path: str, buckets: int = BUCKETS) -> None:
@@ -57,20 +78,40 @@ def tf_idf(p: DataFrame, token: str, records: int) -> DataFrame:
     return mine.join(df, "token").select("key", F.greatest(F.col("tf") * F.log(F.lit(float(records)) / F.col("df")), F.lit(1.0)).alias("_score"))
 
 
+def _vectors(df: DataFrame, key: str, column: str, tokenizer: str) -> tuple[DataFrame, int, float]:
+    """((key, size, token, tf, df), records, mean size): each record's tokens with their document frequency.
+
+    A token that very many records have is joined by a broadcast of the few such tokens.
+    """
+    tokens = df.select(F.col(key).alias("key"), X.tokenize(F.col(column), tokenizer).alias("_t")).withColumn("size", F.size("_t"))
+    whole = tokens.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), F.sum("size").alias("all")).first()
+    p = tokens.select("key", "size", F.explode("_t").alias("token")).groupBy("token", "key", "size").agg(F.count("*").alias("tf"))
+    freq = p.groupBy("token").agg(F.count("*").alias("df")).withColumn("n", F.col("df"))
+    return spread_join(p, freq, "token", "n", whole["all"] or 0), whole["n"], whole["mean"] or 1.0
+
+
 def bm25(df: DataFrame, key: str, column: str, k1: float = 1.2, b: float = 0.75, tokenizer: str = "TokenWord") -> DataFrame:
     """(key, token, weight): each record's weighted vector.
 
     A record's length goes along with its postings, and the two corpus sizes are one row, so the only
     shuffles are the two counts by token.
     """
-    tokens = df.select(F.col(key).alias("key"), X.tokenize(F.col(column), tokenizer).alias("_t")).withColumn("size", F.size("_t"))
-    whole = tokens.agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
-    n, mean = whole["n"], whole["mean"] or 1.0
-    p = tokens.select("key", "size", F.explode("_t").alias("token")).groupBy("token", "key", "size").agg(F.count("*").alias("tf"))
-    freq = p.groupBy("token").agg(F.count("*").alias("df"))
+    p, n, mean = _vectors(df, key, column, tokenizer)
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / mean))
-    return p.join(freq, "token").select("key", "token", weight.alias("weight"))
+    return p.select("key", "token", weight.alias("weight"))
+
+
+def tf_idf_vectors(df: DataFrame, key: str, column: str, tokenizer: str = "TokenWord", unit: bool = True) -> DataFrame:
+    """(key, token, weight): tf * ln(N / df), each record's vector of length 1 if unit."""
+    p, n, _ = _vectors(df, key, column, tokenizer)
+    p = p.select("key", "token", (F.col("tf") * F.log(F.lit(float(n)) / F.col("df"))).alias("weight"))
+    if not unit:
+        return p
+    from pyspark.sql import Window
+
+    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("key")))
+    return p.select("key", "token", F.when(length > 0, F.col("weight") / length).otherwise(F.lit(0.0)).alias("weight"))
 
 
 def learn_pairs(events: DataFrame, session: str, order: str, item: str) -> DataFrame:

@@ -232,6 +232,19 @@ def _load(at: _State, database, table: str, columns: str | None, values: str | N
     database.load(table, rows)
 
 
+def range_filter(df: DataFrame | Table, column: str, least=None, most=None, least_border: str = "include", most_border: str = "include", order: str = "ascending", offset: int = 0, limit: int | None = 10, **parameters) -> DataFrame:
+    """The records whose column lies in a range, in its order, a page of them; further parameters as of select()."""
+    base = df.df if isinstance(df, Table) else df
+    c, kept = quoted(column), base
+    if least is not None:
+        kept = kept.where(c >= F.lit(least) if least_border == "include" else c > F.lit(least))
+    if most is not None:
+        kept = kept.where(c <= F.lit(most) if most_border == "include" else c < F.lit(most))
+    kept = kept.where(c.isNotNull())
+    kept = Table(kept, df.key, df.references) if isinstance(df, Table) else kept
+    return select(kept, sort_keys=column if order == "ascending" else f"-{column}", offset=offset, limit=limit, **parameters).records
+
+
 def escalate(df: DataFrame, conditions: list[str], thresholds: list[int], **context) -> DataFrame:
     """The records of the first condition, and of the next ones as long as no more than the threshold are found.
 

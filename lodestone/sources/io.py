@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import struct
+from datetime import datetime, timezone
+from decimal import Decimal
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..operators.expression import DEFAULTS, Compiler
+from ..operators.expression import DEFAULTS, Compiler, quoted
 from ..plans import syntax as S
 
 
@@ -87,6 +93,105 @@ def extract_html(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.trim(F.regexp_replace(X.normalize_html(F.regexp_replace(x, "(?i)<(br|/p|/div|/h[1-6]|/li)[^>]*>", " ")), r"\s+", " ")))
 
 
+def extract_json(df: DataFrame, column: str) -> DataFrame:
+    """The text in a column of JSON: all strings and numbers that are values, in their order, parted by spaces."""
+    plain = r'"((?:[^"\\\\]|\\\\.)*)"(?!\s*:)|(?<=[:,\[\s])(-?\d[\d.eE+-]*)'
+    found = F.regexp_extract_all(F.concat(F.lit(" "), column), F.lit(f"({plain})"), F.lit(1))
+    bare = F.transform(found, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r'^"|"$', ""), r"\\\\[nrtbf/\"]", " ")))
+    return df.withColumn(column, F.array_join(F.filter(bare, lambda x: x != ""), " "))
+
+
+def to_xml(df: DataFrame) -> DataFrame:
+    """Each record as a HIT with its FIELDs; arrays as VECTORs of ELEMENTs, what is unset as an empty field."""
+
+    def field(f: T.StructField) -> Column:
+        value = lambda c: X.escape_html(c.cast("string"))
+        name = f.name.replace("&", "&amp;").replace("<", "&lt;").replace('"', "&quot;")
+        if isinstance(f.dataType, T.ArrayType):
+            parts = F.array_join(F.transform(quoted(f.name), lambda e: F.concat(F.lit("<ELEMENT>"), F.coalesce(value(e), F.lit("")), F.lit("</ELEMENT>"))), "")
+            return F.concat(F.lit(f'<VECTOR NAME="{name}">'), F.coalesce(parts, F.lit("")), F.lit("</VECTOR>"))
+        x = F.to_json(quoted(f.name)) if isinstance(f.dataType, (T.StructType, T.MapType)) else quoted(f.name)
+        return F.concat(F.lit(f'<FIELD NAME="{name}">'), F.coalesce(value(x), F.lit("")), F.lit("</FIELD>"))
+
+    return df.select(F.concat(F.lit("<HIT>"), *map(field, df.schema), F.lit("</HIT>")).alias("value"))
+
+
+def pack_message(x) -> bytes:
+    """A value in MessagePack."""
+    if x is None or isinstance(x, bool):
+        return {None: b"\xc0", False: b"\xc2", True: b"\xc3"}[x]
+    if isinstance(x, int):
+        if 0 <= x < 128 or -32 <= x < 0:
+            return struct.pack("b", x) if x < 0 else bytes([x])
+        for lead, form, low, high in ((0xCC, ">B", 0, 1 << 8), (0xCD, ">H", 0, 1 << 16), (0xCE, ">I", 0, 1 << 32), (0xCF, ">Q", 0, 1 << 64), (0xD0, ">b", -(1 << 7), 0), (0xD1, ">h", -(1 << 15), 0), (0xD2, ">i", -(1 << 31), 0), (0xD3, ">q", -(1 << 63), 0)):
+            if low <= x < high:
+                return bytes([lead]) + struct.pack(form, x)
+        return pack_message(str(x))
+    if isinstance(x, float):
+        return b"\xcb" + struct.pack(">d", x)
+    if isinstance(x, (bytes, bytearray)):
+        return _sized(len(x), None, 0, (0xC4, 0xC5, 0xC6)) + bytes(x)
+    if isinstance(x, str):
+        raw = x.encode()
+        return _sized(len(raw), 0xA0, 32, (0xD9, 0xDA, 0xDB)) + raw
+    if isinstance(x, dict):
+        return _sized(len(x), 0x80, 16, (None, 0xDE, 0xDF)) + b"".join(pack_message(y) for kv in x.items() for y in kv)
+    if isinstance(x, (list, tuple)):
+        return _sized(len(x), 0x90, 16, (None, 0xDC, 0xDD)) + b"".join(map(pack_message, x))
+    if isinstance(x, datetime):
+        return pack_message(x.timestamp() if x.tzinfo else x.replace(tzinfo=timezone.utc).timestamp())
+    return pack_message(float(x) if isinstance(x, Decimal) else str(x))
+
+
+def _sized(n: int, short: int | None, below: int, leads: tuple) -> bytes:
+    if short is not None and n < below:
+        return bytes([short | n])
+    for lead, form, most in zip(leads, (">B", ">H", ">I"), (1 << 8, 1 << 16, 1 << 32)):
+        if lead is not None and n < most:
+            return bytes([lead]) + struct.pack(form, n)
+    raise ValueError("too long for MessagePack")
+
+
+def to_message_pack(df: DataFrame) -> DataFrame:
+    """Each record as a MessagePack array of its values, by Arrow batches; times are seconds."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pack_message(list(row.values())) for row in b.to_pylist()], pa.binary())], ["value"])
+
+    return df.mapInArrow(run, "value binary")
+
+
+def table_expander(df: DataFrame, key: str, column: str):
+    """A query expander from a table: a word's synonyms are those of the record with that key, itself not added.
+
+    Each word of a query is looked up once, by its key.
+    """
+    kind = df.schema[column].dataType
+
+    def expand(word: str) -> list[str] | None:
+        rows = df.where(X.normalize(quoted(key)) == X.fold(word)).select(quoted(column)).collect()  # one row: key is unique
+        found = [x for r in rows for x in (r[0] if isinstance(kind, T.ArrayType) else [r[0]]) if x]
+        return found or None
+
+    return expand
+
+
+def tsv_expander(spark: SparkSession, path: str):
+    """A query expander from lines of a word and its synonyms, parted by tabs; # begins a comment."""
+    lines = [r[0].split("\t") for r in spark.read.text(path).where("value <> '' and value not like '#%'").collect()]  # a list of synonyms, kept by hand
+    table: dict[str, list[str]] = {}
+    for word, *more in lines:
+        table.setdefault(X.fold(word), []).extend(x for x in more if x)
+    return lambda word: table.get(X.fold(word)) or None
+
+
+def query_expand(expander, query: str) -> str:
+    """A query with every word that has synonyms as their alternatives, in brackets."""
+    said = lambda m: m[0] if m[0] in ("OR",) or not (more := expander(m[0])) else "(" + " OR ".join(f"({x})" for x in more) + ")"
+    return re.sub(r"[^\s()\"]+", said, query)
+
+
 def to_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("value"))
 

@@ -11,6 +11,7 @@ from lodestone.operators.expression import Compiler
 from lodestone.operators.select import escalate, page, select
 from lodestone.plans import syntax as S
 from lodestone.sources import io, logical
+from lodestone.sources.database import Database
 from lodestone.streaming import windows as streams
 
 
@@ -228,3 +229,95 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(60)
     assert streams.learned(spark, str(tmp_path / "learnt")).agg(F.sum("n")).first()[0] == 4
     assert streams.sessions(df, "ts", "30 minutes", ["who"]).count() == 6
+
+
+def test_normalizer_options(spark):
+    one = lambda said, name="NormalizerNFKC", **o: spark.range(1).select(X.normalize(F.lit(said), name, **o).alias("x")).first().x
+    assert one("ＡＢＣ ﬁ ㍿", unify_kana=True) == "abc fi 株式会社"
+    assert one("あイ", unify_kana=True) == "あい" and one("ァっ", unify_kana_case=True) == "アつ"
+    assert one("ガば", unify_kana_voiced_sound_mark=True) == "カは" and one("ヴァイオリン", unify_katakana_v_sounds=True) == "バイオリン"
+    assert one("ローマ", unify_to_romaji=True) == "ro-ma" and one("にっぽん", unify_to_romaji=True) == "nippon"
+    assert one("カー", unify_kana_prolonged_sound_mark=True) == "カア" and one("か-", unify_kana_hyphen=True) == "かあ"
+    assert one("Ä é", unify_latin_alphabet_with=True) == "a e" and one("a－b–c", unify_hyphen=True) == "a-b-c"
+    assert one(" a b\n!", remove_blank=True, remove_symbol=True) == "ab" and one("  a ", strip=True) == "a"
+    assert one("時々", unify_iteration_mark=True) == "時時" and one("ニホン", unify_to_katakana=True) == "ニホン" and one("nihon", unify_to_katakana=True) == "ニホン"
+    assert one("<b>A</b>&amp;", "NormalizerHTML") == "a&"
+
+
+def test_readings_by_prefix(spark):
+    df = spark.createDataFrame([("ニホン",), ("ニッポン",), ("ローマジ",), ("シャ",), ("ギャ",)], "_key string")
+    ask = lambda q: sorted(r[0] for r in select(df, filter=f'prefix_rk_search(_key, "{q}")').records.collect())
+    assert ask("ni") == ["ニッポン", "ニホン"] and ask("n") == ["ニッポン", "ニホン"] and ask("nip") == ["ニッポン"] and ask("nippo") == ["ニッポン"]
+    assert ask("に") == ["ニッポン", "ニホン"] and ask("sh") == ["シャ"] and ask("sya") == ["シャ"] and ask("gy") == ["ギャ"] and ask("zz") == []
+
+
+def test_highlight_and_snippet_goldens(spark):
+    df = spark.createDataFrame([(1, "<b>Rroonga</b> is a Ruby binding of Groonga."), (2, "Mroonga is a ＭｙＳＱＬ engine"), (3, None)], "k long, body string")
+    one = lambda k, said, **p: select(df.where(f"k = {k}"), output_columns=said, **p).records.first()[0]
+    assert one(1, 'highlight(body, "groonga", "<span class=\\"k1\\">", "</span>")') == '<b>Rroonga</b> is a Ruby binding of <span class="k1">Groonga</span>.'
+    assert one(1, 'highlight(body, "groonga", "<i>", "</i>", {"html_mode": true})') == "&lt;b&gt;Rroonga&lt;/b&gt; is a Ruby binding of <i>Groonga</i>."
+    assert one(1, 'highlight(body, "groonga", "rroonga", {"sequential_class_tag_mode": true})') == '<b><mark class="keyword-1">Rroonga</mark></b> is a Ruby binding of <mark class="keyword-0">Groonga</mark>.'
+    assert one(2, 'highlight(body, "mysql", "[", "]")') == "Mroonga is a [ＭｙＳＱＬ] engine"
+    assert one(2, 'highlight_full(body, "", false, "mysql", "[", "]", "is", "(", ")")') == "Mroonga (is) a ＭｙＳＱＬ engine"
+    assert one(1, "highlight_html(body)", query="ruby", match_columns="body") == '&lt;b&gt;Rroonga&lt;/b&gt; is a <span class="keyword">Ruby</span> binding of Groonga.'
+    assert one(1, "snippet_html(body)", query="ruby", match_columns="body") == ['&lt;b&gt;Rroonga&lt;/b&gt; is a <span class="keyword">Ruby</span> binding of Groonga.']
+    assert one(1, 'snippet(body, "none", "[", "]", {"default": "-"})') == ["-"] and one(1, 'snippet(body, "none", "[", "]")') is None and one(3, 'highlight(body, "a", "b", "c")') is None
+    with pytest.raises(S.SyntaxProblem):
+        one(1, 'highlight(body, "a", "b")')
+
+
+def test_fuzzy_scores_and_escalation_goldens(spark):
+    names = spark.createDataFrame([("Tom",), ("Tomy",), ("Ken",)], "_key string")
+    got = select(names, filter='fuzzy_search(_key, "To", 1)', output_columns="_key, _score").records
+    assert [tuple(r) for r in got.collect()] == [("Tom", 1.0)]
+    numbers = spark.createDataFrame([(i, 10 * i, 100 * i) for i in range(1, 11)], "data1 int, data2 int, data3 int")
+    got = select(numbers, filter="data1 <= 9 && escalate('data1 <= 1', 2, 'data2 > 50', 4, 'data3 > 0')").records
+    assert sorted(col(got, "data1")) == [1, 6, 7, 8, 9]
+
+
+def test_accessors_of_vectors_and_nothing(spark):
+    users = spark.createDataFrame([("a", 1), ("b", 2)], "_key string, age int")
+    groups = spark.createDataFrame([("g1", ["a"]), ("g2", ["b", "a"]), ("g3", []), ("g4", None), ("g5", ["zz"])], "_key string, users array<string>")
+    t = tables.Table(groups, "_key", {"users": "Users"})
+    ask = lambda **p: select(t, tables={"Users": tables.Table(users, "_key")}, **p).records
+    assert {r[0]: r[1] for r in ask(output_columns="_key, users.age").collect()} == {"g1": [1], "g2": [2, 1], "g3": None, "g4": None, "g5": None}
+    assert col(ask(filter='sub_filter(users, "age > 1")'), "_key") == ["g2"]
+    assert sorted(col(ask(filter='!sub_filter(users, "age > 1")'), "_key")) == ["g1", "g3", "g4", "g5"]
+    assert ask().columns == ["_key", "users"]
+    with pytest.raises(S.SyntaxProblem):
+        select(groups, references={"users": "Users"}, tables={"Users": users}, filter="users.age > 1")
+
+
+def test_record_numbers_are_dense(spark, monkeypatch):
+    monkeypatch.setattr(tables, "PIECES", 3)
+    df = spark.createDataFrame([(f"k{i:03d}",) for i in range(100)], "k string").repartition(5)
+    assert [r._id for r in tables.with_id(df, "k").orderBy("k").collect()] == list(range(1, 101))
+    assert tables.with_id(df.limit(0), "k").count() == 0
+
+
+def test_stems(spark):
+    words = ["cats", "ponies", "caresses", "walking", "walked", "hopping", "hoped", "sky", "happy", "relational", "is", "bring", "été"]
+    got = spark.createDataFrame([(words,)], "w array<string>").select(X.token_filter(F.col("w"), "TokenFilterStem").alias("s")).first().s
+    assert got == ["cat", "poni", "caress", "walk", "walk", "hop", "hop", "sky", "happi", "relate", "is", "bring", "été"]
+    nfkc = spark.createDataFrame([(["ＡＢ", "ｃ"],), ([],)], "w array<string>").select(X.token_filter(F.col("w"), "TokenFilterNFKC").alias("s")).collect()
+    assert [r.s for r in nfkc] == [["ab", "c"], []]
+
+
+@pytest.mark.parametrize("x, want", [(None, "c0"), (True, "c3"), (5, "05"), (-3, "fd"), (200, "ccc8"), (70000, "ce00011170"), (-200, "d1ff38"), (1.5, "cb3ff8000000000000"), ("é", "a2c3a9"), (b"\x01", "c40101"), ([1, "a"], "9201a161"), ({"k": None}, "81a16bc0"), ("x" * 40, "d928" + "78" * 40)])
+def test_message_pack(x, want):
+    assert io.pack_message(x).hex() == want
+
+
+def test_database_refuses(spark):
+    db = Database(spark, {"A": tables.Table(spark.createDataFrame([(1, 2)], "k int, b int"), "k", {"b": "B"}), "B": tables.Table(spark.createDataFrame([(2,)], "k int"), "k")})
+    for bad in (lambda: db.table_remove("B"), lambda: db.table_rename("A", "B"), lambda: db.column_remove("A", "k"), lambda: db.table_create("A", "k int"), lambda: db["none"], lambda: db.command("none"), lambda: db.command("_put")):
+        with pytest.raises(S.SyntaxProblem):
+            bad()
+    db.table_rename("B", "C")
+    assert db["A"].references == {"b": "C"}
+    db.table_remove("C", dependent=True)
+    assert db["A"].df.columns == ["k"]
+    db.truncate("A")
+    assert db["A"].df.count() == 0
+    db.load("A", [{"k": None}, {"k": 5}])
+    assert col(db["A"].df, "k") == [5]
