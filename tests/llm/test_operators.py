@@ -149,7 +149,7 @@ def test_decontamination(spark, docs, odd):
     assert {k: tuple(r)[1:] for k, r in by_id(queries.op3_decontamination(spark, SF)).items()} == want
     bench = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9"), (2, None), (3, ""), (4, "W250"), (1, "w1 w2 w3 w4 w5 w6 w7 w8 w9")], "item_id long, text string")
     for block in (1 << 20, 3):
-        got = decontam.contamination(odd, bench, block_words=block).collect()
+        got = decontam.contamination(odd, bench, block=block).collect()
         assert {r.doc_id: (r.n_hit, sorted(r["items"])) for r in got if r.doc_id in (1, 4, 9)} == {1: (0, []), 4: (10, ["1", "4"]), 9: (0, [])}
     assert decontam.contamination(odd, bench.limit(0)).where(F.size("items") > 0).count() == 0
     assert decontam.keep_clean(odd, bench).count() == len(AWKWARD) - 5
