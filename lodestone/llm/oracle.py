@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .decontam import MIN_ITEMS, WINDOW
-from .licenses import PHRASES, TEMPLATES, THRESHOLD
+from .licenses import LINES, PHRASES, TEMPLATES, THRESHOLD
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -29,7 +29,8 @@ WITH d AS (SELECT doc_id, text, regexp_extract_all({_LOW}, {_ALNUM}) AS w FROM d
 p AS (SELECT doc_id, text, len(w) AS n_words, list_transform(range(1, len(w) + 1), lambda i: array_to_string(w[i:i + 3], ' ') || ' ') AS five FROM d),
 q AS (SELECT doc_id, text, n_words, list_filter(range(0, n_words), lambda i: list_contains([{', '.join(f"starts_with(five[i + 1], '{p} ')" for p in PHRASES)}], true)) AS places,
   list_filter([{_LABELS}], lambda x: x IS NOT NULL) AS base FROM p),
-l AS (SELECT doc_id, list_distinct(regexp_extract_all({_LOW}, {_ALNUM})) AS held FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text FROM documents)),
+s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, list_distinct(regexp_extract_all({_LOW}, {_ALNUM})) AS held FROM (SELECT doc_id, array_to_string(lines[i:i + k], chr(10)) AS text FROM (SELECT doc_id, lines, k, unnest(range(1, len(lines) + 1)) AS i FROM s, (SELECT unnest(range(0, {LINES})) AS k)))),
 t AS (SELECT label, list_distinct(string_split(said, ' ')) AS tokens FROM (VALUES {_TEMPLATES}) v(label, said)),
 m AS (SELECT doc_id, label, len(list_intersect(held, tokens)) / len(tokens) AS share FROM l, t WHERE len(list_intersect(held, tokens)) >= ceil({THRESHOLD} * len(tokens) - 1e-9)),
 g AS (SELECT doc_id, list(label) AS added, max(share) AS best FROM m GROUP BY 1)

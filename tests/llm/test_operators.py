@@ -202,7 +202,8 @@ def scan_brute(text):
         places += at
         labels |= {label} if at else set()
     added, best = set(), 0.0
-    for line in (text or "").split("\n"):
+    lines = (text or "").split("\n")
+    for line in ("\n".join(lines[i : i + k]) for i in range(len(lines)) for k in range(1, licenses.LINES + 1)):
         held = set(WORD.findall(line.translate(LOW)))
         for label, said in licenses.TEMPLATES.items():
             share = len(held & set(said.split())) / len(set(said.split()))

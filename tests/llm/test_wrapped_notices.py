@@ -6,8 +6,21 @@ BSD = "Redistribution and use in source and binary forms, with or without\nmodif
 MPL = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not"
 
 
+ISC = "Permission to use, copy, modify, and/or distribute\nthis software for any purpose with or without\nfee is hereby granted."
+
+
 def test_wrapped_notices(spark):
-    docs = spark.createDataFrame([(1, BSD), (2, MPL), (3, "nothing\nhere"), (4, None)], "doc_id long, text string")
-    got = {r.doc_id: (r.labels, r.score >= 0.8) for r in licenses.scan(docs, lines=2).collect()}
-    assert got == {1: ("bsd", True), 2: ("mpl-2", True), 3: ("", False), 4: ("", False)}
-    assert {r.labels for r in licenses.scan(docs).collect()} == {""}  # the SQL's blocks: single lines
+    docs = spark.createDataFrame([(1, BSD), (2, MPL), (3, "nothing\nhere"), (4, None), (5, f"x\n\n{ISC}\n" * 2)], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score >= 0.8) for r in licenses.scan(docs).collect()}
+    assert got == {1: ("bsd", True), 2: ("mpl-2", True), 3: ("", False), 4: ("", False), 5: ("isc", True)}
+    assert {r.labels for r in licenses.scan(docs, lines=1).collect()} == {""}
+
+
+def test_templates_of_a_table(spark):
+    docs = spark.createDataFrame([(1, "Free\nas in beer, for everyone"), (2, "free beer"), (3, "")], "doc_id long, text string")
+    table = spark.createDataFrame([("beer", "Free as in beer!"), ("beer", "for everyone"), (None, "x"), ("none", None), ("empty", "..")], "label string, text string")
+    said = licenses.read_templates(table)
+    assert said == {"beer": "for everyone", "beer-2": "free as in beer"}
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs, said=said).collect()}
+    assert got == {1: ("beer,beer-2", 1.0), 2: ("", 0.0), 3: ("", 0.0)}
+    assert licenses.scan(docs, said={}).where("labels <> ''").count() == 0
