@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import spread_join
+
 SLICE = 1 << 20  # bytes of text that numpy handles at once (a longer document is one slice)
 PIECE = 1 << 18  # of these, bytes for which hashes are summed up at once
 
@@ -235,23 +237,6 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         lab = new
 
 
-HOT_ROWS, MOST_HOT = 1 << 10, 1 << 13
-
-
-def spread_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """left joined to right (one row a key) on key, without a task that has one key's rows alone.
-
-    n: right's column with the number of left's rows of the key; total: left's rows. A key is hot from
-    max(HOT_ROWS, total / MOST_HOT) rows on, so MOST_HOT keys are hot at most: they are broadcast, the
-    others joined by a shuffle. n isn't in the result.
-    """
-    hot = F.col(n) >= max(HOT_ROWS, -(-total // MOST_HOT))
-    few, rest = right.where(hot).drop(n), right.where(~hot).drop(n)
-    near = left.join(F.broadcast(few), key)
-    far = left.join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key)
-    return near.unionByName(far)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node with a link, label the smallest node it reaches.
 
