@@ -51,6 +51,12 @@ _SOUNDS = {
 }
 
 
+def _half_width(x: Column) -> Column:
+    """Full-width forms to ASCII; a text without any, which is told sooner, isn't rebuilt."""
+    some = (F.char_length(x) != F.octet_length(x)) & x.rlike(f"[{_FULL[0]}-{_FULL[-2]}{_FULL[-1]}]")
+    return F.when(some, F.translate(x, _FULL, _HALF)).otherwise(x)
+
+
 def fold(text: str) -> str:
     """What normalize() makes of a literal: lower case, full-width forms to ASCII."""
     return text.translate(str.maketrans(_FULL, _HALF)).lower()
@@ -99,8 +105,7 @@ def normalize(x: Column, normalizer: str = "auto", **options) -> Column:
         return own(x, **options)
     if normalizer == "NormalizerHTML":
         x = normalize_html(x)
-    x = nfkc(x) if normalizer.startswith("NormalizerNFKC") else F.translate(x, _FULL, _HALF)
-    x = F.lower(x)
+    x = F.lower(nfkc(x) if normalizer.startswith("NormalizerNFKC") else _half_width(x))
     on = lambda *names: any(options.get(n) for n in names)
     if on("unify_latin_alphabet_with"):
         x = _marks(x)
