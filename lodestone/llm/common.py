@@ -22,23 +22,31 @@ SLICE = 1 << 20  # bytes of text that numpy handles at once (a longer document i
 PIECE = 1 << 18  # of these, bytes for which hashes are summed up at once
 
 
+_own_dirs: dict[str, str] = {}  # by application, where nothing is configured
+
+
+def _configured(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset.
 
     Without that setting a local session takes a temporary folder, any other the user's home in the
     default file system, which must be a shared one.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
+    if path := _configured(spark):
+        return path.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
         if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            path = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
+            _own_dirs[app] = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
         else:
             fs = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.get(spark.sparkContext._jsc.hadoopConfiguration())
             if fs.getUri().getScheme() == "file":
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            path = f"{fs.getHomeDirectory().toString()}/lodestone"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+            _own_dirs[app] = f"{fs.getHomeDirectory().toString()}/lodestone"
+    return _own_dirs[app]
 
 
 #: In force while an intermediate result is written: small Arrow batches, and shuffle files that go with their query.
