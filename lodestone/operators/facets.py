@@ -66,7 +66,8 @@ def drilldown(
 ) -> DataFrame:
     """One row for each value of the keys: the keys, _nsubrecs and what is calculated.
 
-    A vector key counts under each of its elements, or with POWER_SET under each non-empty subset. order names
+    A vector key counts under each of its elements, or with POWER_SET under each non-empty subset, of which n
+    elements have 2 ** n - 1, each a row before it is counted. order names
     the unique column by which max_n_target_records takes the first records (negative: all but so many, and one).
     A key may be an expression or an accessor; it is named as it is said. columns: an expression, or a dict of
     stage (initial, group, filtered, output), value and type: group has an aggregator as value, initial is there

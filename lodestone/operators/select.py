@@ -118,6 +118,19 @@ def page(df: DataFrame, offset: int = 0, limit: int | None = None) -> DataFrame:
     return df if limit is None or limit < 0 else df.limit(limit)
 
 
+def last_page(df: DataFrame, order: list[Column], backward: list[Column], n: int, limit: int | None) -> DataFrame:
+    """The page that begins at the n-th record from the end, without counting the records.
+
+    Only the last n are gathered; where there are fewer, the page is as much shorter as it begins late.
+    """
+    from pyspark.sql import Window as W
+
+    tail = df.orderBy(*backward).limit(n)
+    if limit is not None and limit >= 0:
+        tail = tail.withColumn("__from_end", F.row_number().over(W.orderBy(*backward))).where(F.col("__from_end") > n - limit).drop("__from_end")
+    return tail.orderBy(*order)
+
+
 def _looser(text: str) -> list[str]:
     """A query and what it escalates to: its words unsplit, then their beginnings."""
     words = text.split()
@@ -196,7 +209,14 @@ def select(
     if sort_keys or offset or limit is not None:
         for k in S.split(sort_keys):
             at.tree(k.lstrip("-+"))
-        at.df = at.df.orderBy(*facets.sort_columns(sort_keys, [key] if key else [], at.compiler))
+        tie = [key] if key else []
+        order = facets.sort_columns(sort_keys, tie, at.compiler)
+        if offset < 0 and order:
+            turned = [k[1:] if k[0] == "-" else f"-{k.lstrip('+')}" for k in S.split(sort_keys)]
+            at.df = last_page(at.df, order, facets.sort_columns([*turned, *[f"-{t}" for t in tie if t not in {k.lstrip("-+") for k in turned}]], (), at.compiler), -offset, limit)
+            offset, limit = 0, None
+        else:
+            at.df = at.df.orderBy(*order)
     at.df = page(at.df, offset, limit)
     at.stage(columns, "output")
     visible = [c for c in at.df.columns if c in own or c in columns or c == "_score" or scorer and not c.startswith("__") and "." not in c]

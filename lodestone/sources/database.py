@@ -144,12 +144,13 @@ class Database:
         return {**{k: "table" for k in self.tables}, **{f"{k}.{c}": "column" for k, t in self.tables.items() for c in t.df.columns}}
 
     # -- records -----------------------------------------------------------------------------------
-    def load(self, table: str, values, columns: str | None = None, if_exists: str | None = None, each: dict[str, str] | None = None, output_ids: bool = False, output_errors: bool = False) -> Loaded:
+    def load(self, table: str, values, columns: str | None = None, if_exists: str | None = None, each: dict[str, str] | None = None, output_ids: bool = False, output_errors: bool = False, lock_table: bool = False) -> Loaded:
         """Records into a table: DataFrame, dicts, or lists whose first row (or columns) names the fields.
 
         By key the new record's values win, of several the last; what the record doesn't have stays. A value that
         can't be read as its column's type is unset, and an error. if_exists: a condition on the old record
-        under which it is overwritten. each: expressions for columns of the records that are loaded.
+        under which it is overwritten. each: expressions for columns of the records that are loaded. lock_table
+        changes nothing: a reader keeps the plan it has.
         """
         old = self[table]
         new = values if isinstance(values, DataFrame) else io.load_rows(self.spark, values, S.split(columns) or None)
@@ -210,7 +211,7 @@ class Database:
     def dump(self, path: str) -> str:
         return io.dump({k: t.df for k, t in self.tables.items()}, path)
 
-    def command(self, name: str, **arguments):
+    def command(self, name: str, /, **arguments):
         """A registered command, or one of this class by its name."""
         if own := extensions.find("command", name):
             return own(self, **arguments)

@@ -321,3 +321,43 @@ def test_database_refuses(spark):
     assert db["A"].df.count() == 0
     db.load("A", [{"k": None}, {"k": 5}])
     assert col(db["A"].df, "k") == [5]
+
+
+def test_negative_offsets_without_a_count(spark):
+    df = spark.createDataFrame([(i, i % 3) for i in range(10)], "k long, m long")
+    order = sorted(((m, -k) for k, m in ((i, i % 3) for i in range(10))))
+    want = [-k for _, k in order]
+    for offset, limit in ((-3, 2), (-3, None), (-10, 4), (-12, 5), (-30, 5), (-1, 1), (-4, 0)):
+        got = col(select(df, sort_keys="m, -k", key="k", offset=offset, limit=limit).records, "k")
+        start = 10 + offset
+        n = len(want) if limit is None else limit
+        assert got == (want[start : start + n] if start >= 0 else want[: max(n + start, 0)]), (offset, limit)
+
+
+def test_http_front_end(spark):
+    import json
+    import threading
+    from urllib.error import HTTPError
+    from urllib.parse import urlencode
+    from urllib.request import Request, urlopen
+
+    from lodestone import server
+
+    db = Database(spark, {"T": tables.Table(spark.createDataFrame([(i, f"name{i}", i % 2) for i in range(30)], "k long, name string, odd long"), "k")})
+    s = server.serve(db, port=0)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    ask = lambda path, data=None, **p: urlopen(Request(f"http://127.0.0.1:{s.server_address[1]}{path}?{urlencode(p)}", data)).read()
+    try:
+        head, body = json.loads(ask("/d/select", table="T", filter="k >= 4", sort_keys="-k", limit="3", output_columns="k, name", **{"drilldowns[o].keys": "odd", "drilldowns[o].sort_keys": "odd", "columns[twice].stage": "filtered", "columns[twice].value": "k * 2"}))
+        assert head[0] == 0 and body["records"] == [[["k", "bigint"], ["name", "string"]], [29, "name29"], [28, "name28"], [27, "name27"]]
+        assert body["drilldowns"]["o"][1:] == [[0, 13], [1, 13]]
+        assert len(json.loads(ask("/d/select", table="T"))[1]["records"]) == 1 + server.LIMIT
+        assert json.loads(ask("/d/load", b'[{"k": 99, "name": "new"}]', table="T", output_ids="yes"))[1] == {"loaded": 1, "ids": [[["k", "bigint"]], [99]]}
+        assert ask("/d/select.tsv", table="T", filter="k == 99", output_columns="k, name").decode() == "k\tname\n99\tnew\n"
+        assert b"<ELEMENT>new</ELEMENT>" in ask("/d/select.xml", table="T", filter="k == 99") and ask("/d/object_exist.msgpack", name="T.k")[-1:] == b"\xc3"
+        for bad in ("/d/select?table=none", "/d/none", "/x", "/d/select?table=T&filter=k+%3D%3D"):
+            with pytest.raises(HTTPError) as e:
+                urlopen(f"http://127.0.0.1:{s.server_address[1]}{bad}")
+            assert e.value.code == 400
+    finally:
+        s.shutdown()
