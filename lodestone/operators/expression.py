@@ -152,6 +152,30 @@ class Compiler:
             return F.coalesce(x != 0, F.lit(False))
         return x.isNotNull()
 
+    def holds(self, node) -> Column:
+        """truth() for a filter alone, where null is as good as false: what the scan understands reaches it."""
+        if isinstance(node, S.Binary):
+            op = node.op
+            if op == "&&":
+                return self.holds(node.left) & self.holds(node.right)
+            if op == "||":
+                return self.holds(node.left) | self.holds(node.right)
+            if op == "&!":
+                return self.holds(node.left) & ~self.truth(node.right)
+            if op in ("*>", "*<", "*~"):
+                return self.holds(node.left)
+            if op in _COMPARE:
+                return self.compare(op, node.left, node.right)
+            if op in _TEXT or (op[0] == "*" and op != "*"):
+                return self.search(node)
+        if isinstance(node, S.Call) and node.name == "weighted":
+            return self.holds(node.args[0])
+        if isinstance(node, S.Call) and not node.name.startswith("scorer_") and not extensions.find("scorer", node.name):
+            x = self.value(node)
+            if isinstance(self.kind(x), T.BooleanType):
+                return x
+        return self.truth(node)
+
     def compare(self, op: str, left, right) -> Column:
         a, b = self.value(left), self.value(right)
         if isinstance(self.kind(a), T.ArrayType) and not isinstance(self.kind(b), T.ArrayType):

@@ -118,7 +118,7 @@ def drilldown(
 
     out = stage(out, "initial")
     if filter:
-        out = out.where(Compiler(out, key=only).truth(S.parse_script(filter)))
+        out = out.where(Compiler(out, key=only).holds(S.parse_script(filter)))
     out = stage(out, "filtered")
     if adjuster:
         out = out.withColumn("_score", F.col("_nsubrecs") + Compiler(out, key=only).score(S.parse_script(adjuster)))

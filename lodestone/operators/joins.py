@@ -38,7 +38,7 @@ def source_records(table: DataFrame, key: str, source: DataFrame, column: str) -
 
 def sub_filter(df: DataFrame, column: str, table: DataFrame, key: str, condition: str, anti: bool = False) -> DataFrame:
     """The records whose referenced record satisfies the condition, or with anti those whose doesn't."""
-    keep = table.where(Compiler(table).truth(S.parse_script(condition))).select(F.col(key).alias("_ref"))
+    keep = table.where(Compiler(table).holds(S.parse_script(condition))).select(F.col(key).alias("_ref"))
     return df.join(keep, F.col(column) == F.col("_ref"), "left_anti" if anti else "left_semi")
 
 

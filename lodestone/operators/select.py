@@ -50,10 +50,6 @@ class _State:
         c.keywords = self.words
         return c
 
-    def truth(self, said) -> Column:
-        tree = self.tree(said)
-        return self.compiler.truth(tree)
-
     def value(self, said) -> Column:
         tree = self.tree(said)
         return self.compiler.value(tree)
@@ -178,15 +174,15 @@ def select(
     at.words = keywords(*trees)
     score = reduce(lambda a, b: a + b, [at.compiler.score(t) for t in trees], F.lit(0.0)) if trees else F.lit(1.0)
     wants = "_score" in str((sort_keys, output_columns, scorer, post_filter, load_values)) or adjuster
-    conditions = [at.compiler.truth(t) for t in trees]
+    conditions = [at.compiler.holds(t) for t in trees]
     for c in conditions:
         at.df = at.df.where(c)
     at.df = at.df.withColumn("_score", score) if wants else at.df
     for stage in ("result_set", "filtered"):
         at.stage(columns, stage)
     if post_filter:
-        condition = at.truth(post_filter)
-        at.df = at.df.where(condition)
+        tree = at.tree(post_filter)
+        at.df = at.df.where(at.compiler.holds(tree))
     if scorer:
         at.assign(S.parse_script(scorer))
     if adjuster:

@@ -166,12 +166,12 @@ def sub_filter(df, args, context, given):
         inner = table_of(context.tables[context.references[head]])
         sub = Context(context.tables, inner.key, inner.references)
         there, tree = resolve(inner.df, S.Call("sub_filter", (S.Name(rest), *args[1:])), sub)
-        keep = there.where(sub.compiler(there).truth(tree)).select(quoted(inner.key).alias("__ref"))
+        keep = there.where(sub.compiler(there).holds(tree)).select(quoted(inner.key).alias("__ref"))
     else:
         other = table_of(context.tables[context.references[head]])
         sub = Context(context.tables, other.key, other.references)
         there, tree = resolve(other.df, S.parse_script(args[1].value), sub)
-        keep = there.where(sub.compiler(there).truth(tree)).select(quoted(other.key).alias("__ref"))
+        keep = there.where(sub.compiler(there).holds(tree)).select(quoted(other.key).alias("__ref"))
     keep = keep.distinct().withColumn(name, F.lit(True))
     if isinstance(df.schema[head].dataType, T.ArrayType):
         if not context.key:

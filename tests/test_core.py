@@ -361,3 +361,30 @@ def test_http_front_end(spark):
             assert e.value.code == 400
     finally:
         s.shutdown()
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_and_columns_reach_the_scan(spark, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    spark.createDataFrame([(i, f"n{i}", float(i), None if i % 2 else "x") for i in range(50)], "k long, name string, price double, maybe string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    got = select(df, filter='price >= 10 && name == "n12" && maybe != "y"', output_columns="k").records
+    said = plan(got)
+    assert all(x in said for x in ("GreaterThanOrEqual(price,10.0)", "EqualTo(name,n12)", "IsNull(maybe)")) and "ReadSchema: struct<k:bigint,name:string,price:double,maybe:string>" in said
+    assert col(got, "k") == [12] and "ReadSchema: struct<name:string>" in plan(facets.drilldown(df, "name"))
+
+
+def test_only_the_shards_of_a_range_are_read(spark, tmp_path):
+    rows = spark.sql("SELECT id AS k, timestamp_seconds(1704067200 + id * 3600 * 6) AS ts FROM range(80)")
+    logical.write(rows, str(tmp_path / "log"), "ts")
+    df = logical.read(spark, str(tmp_path / "log"))
+    inside = logical.within(df, "ts", "2024-01-05", "2024-01-06T12:00:00")
+    said = plan(inside)
+    assert "PartitionFilters: [" in said and "20240105" in said.split("PartitionFilters: [")[1].split("PushedFilters")[0] and inside.count() == 7
+    assert sorted(r.k for r in logical.remove(df, "ts", "2024-01-02", "2024-01-19").collect()) == [0, 1, 2, 3, *range(73, 80)]  # k = 72 is the 19th's first
+    logical.remove_in_place(spark, str(tmp_path / "log"), "ts", "2024-01-02T06:00:00", "2024-01-19")
+    left = logical.read(spark, str(tmp_path / "log"))
+    assert sorted(col(left, "k")) == [0, 1, 2, 3, 4, *range(73, 80)] and col(logical.shard_list(left), "shard") == ["20240101", "20240102", "20240119", "20240120"]
