@@ -149,8 +149,8 @@ def candidates(src: DataFrame, under: DataFrame, windows: DataFrame, window: int
 
         got = C.materialize(src.mapInArrow(run, "doc_id long, h string, n_words long, found array<struct<token:long,pos:int,left:int,said:string>>"))
         each = got.where(F.size("found") > 0).groupBy("h").agg(F.first("found").alias("found")).select("h", F.inline("found"))
-        rows, places = (got.select("doc_id", "h", "n_words"), each) if rows is None else (rows, places.unionByName(each))
-    return rows, places
+        rows, places = (got, each) if rows is None else (rows, places.unionByName(each))
+    return rows.select("doc_id", "h", "n_words"), places
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int, block: int, text_col: str, id_col: str, item_col: str, item_text_col: str, least: int = 1):
@@ -173,7 +173,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     rows, found, windows = hits(docs, benchmark, window, block, text_col, id_col, item_col, item_text_col)
     found = C.materialize(found.distinct())
     items = found.select("h", "text").distinct().join(windows.select("text", "item_id").distinct(), "text").groupBy("h").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    spans = found.groupBy("h").agg(F.collect_set(F.struct("start", "k")).alias("spans"))
+    spans = found.groupBy("h").agg(F.collect_set(F.struct("start", "k")).alias("spans")).join(items, "h")
+    # Most texts have no hit and need no join; those that do, be they copied ever so often, are joined by row.
+    many = rows.join(spans.select("h"), "h", "left_semi").groupBy("h").agg(F.count("*").alias("n"))
+    right = C.materialize(spans.join(many, "h"))
+    total = right.agg(F.sum("n")).first()[0] or 0
+    hit = C.spread_join(rows, right, "h", "n", total).select("doc_id", "n_words", "items", "spans")
+    free = rows.join(right.select("h"), "h", "left_anti").select("doc_id", "n_words", F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("array<struct<start:int,k:int>>").alias("spans"))
 
     def run(batches):
         for b in batches:
@@ -190,7 +196,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), longs, longs))], [x.split()[0] for x in _SCHEMA.split(", ")])
 
-    return rows.join(spans.join(items, "h"), "h", "left").select("doc_id", "n_words", "items", "spans").mapInArrow(run, _SCHEMA)
+    return hit.unionByName(free).mapInArrow(run, _SCHEMA)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
