@@ -335,7 +335,10 @@ def highlight_html(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.md5(A.highlight_html(F.col("text"), ["the", "and"]).cast("binary")).alias("h"))
 
 
-@query()
+_AROUND = "((?s:.{0,18}?)(?:[Tt][Hh][Ee]|[Aa][Nn][Dd])(?s:.{0,18}))"
+
+
+@query(f"SELECT doc_id, list_transform(regexp_extract_all(text, '{_AROUND}')[1:3], lambda s: regexp_replace(ltrim(s), '(the|and)', '[[\\1]]', 'gi')) AS snippets FROM documents")
 def snippet(spark, d):
     got = A.snippets(F.col("text"), ["the", "and"], width=40)
     return _t(spark, d, "documents").select("doc_id", got.alias("snippets"))
