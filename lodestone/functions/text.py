@@ -7,13 +7,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import extensions
 
-WORD = r"[\p{L}\p{N}_]+"
+IN_WORD, NOT_IN_WORD = r"[a-z0-9_\p{L}\p{N}]", r"[^a-z0-9_\p{L}\p{N}]"
+WORD = IN_WORD + "+"
 
 
 # ---- normalizers ----------------------------------------------------------------------------------
@@ -367,20 +369,28 @@ def near(tokens: Column, phrases: list[list[str]], most: int = 10, least: int |
     return F.coalesce(let(every, lambda found: down(found, [])), F.lit(False))
 
 
-def has_all(x: Column, words) -> Column:
-    """Whether every word stands somewhere in the normalized text, be it inside a longer one: asked before a text is tokenized."""
-    n = normalize(x)
-    out = F.lit(True)
-    for w in sorted(set(words), key=lambda w: (-len(w), w)):
-        out = out & F.contains(n, F.lit(w))
-    return out
+def near_in(x: Column, choices: list[list[list[str]]], most: int = 10, least: int | None = None, ordered: bool = False) -> Column:
+    """Whether all phrases of some choice stand near each other in a text, which is normalized once.
+
+    A text that lacks a word that every choice has isn't tokenized.
+    """
+    if not choices:
+        return F.lit(False)
+    common = sorted(set.intersection(*[{w for p in c for w in p} for c in choices]), key=lambda w: (-len(w), w))
+
+    def ask(n):
+        there = reduce(lambda a, b: a & b, [F.contains(n, F.lit(w)) for w in common], n.isNotNull())
+        found = let(tokenize(n, normalizer="none"), lambda t: reduce(lambda a, b: a | b, [near(t, c, most, least, ordered) for c in choices]))
+        return F.when(there, found).otherwise(False)
+
+    return let(normalize(x), ask)
 
 
 def phrase(x: Column, words: list[str]) -> Column:
     """Whether the words stand one after another, told by one pattern without tokens."""
-    gap = r"[^\p{L}\p{N}_]+"
-    said = r"(?<![\p{L}\p{N}_])" + gap.join(re.escape(fold(w)) for w in words) + r"(?![\p{L}\p{N}_])"
-    return F.coalesce(has_all(x, map(fold, words)) & normalize(x).rlike(said), F.lit(False))
+    first, *rest = (re.escape(fold(w)) for w in words)
+    said = f"{first}(?<!{IN_WORD}{first})" + "".join(f"{NOT_IN_WORD}+{w}" for w in rest) + f"(?!{IN_WORD})"
+    return F.coalesce(normalize(x).rlike(said), F.lit(False))
 
 
 def product(text: str) -> list[list[list[str]]]:

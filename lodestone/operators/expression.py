@@ -220,7 +220,8 @@ class Compiler:
                 if op == "@$":
                     return F.endswith(c, F.lit(said) if said is not None else self.value(arg))
                 if op == "@^word":
-                    return X.normalize(c).rlike(r"(?<![\p{L}\p{N}_])" + re.escape(X.fold(str(said))))
+                    word = re.escape(X.fold(str(said)))
+                    return X.normalize(c).rlike(f"{word}(?<!{X.IN_WORD}{word})")
                 if said is not None:
                     return X.match(c, str(said))
                 return F.contains(X.normalize(c), X.normalize(self.value(arg)))
@@ -231,13 +232,8 @@ class Compiler:
         words = str(arg.value)
         if op in _NEAR:
             most, least = _intervals(node.options)
-            tokens, ordered = X.tokenize(x), op.startswith("*O")
-            if op.endswith("PP"):
-                choices = X.product(words)
-                common = set.intersection(*[{w for p in c for w in p} for c in choices]) if choices else set()
-                return X.has_all(x, common) & X.let(tokens, lambda t: reduce(lambda p, q: p | q, [X.near(t, c, most, least, ordered) for c in choices]))
-            phrases = [X.words_of(p[1] or p[2]) for p in re.finditer(r'"([^"]*)"|(\S+)', words)]
-            return X.has_all(x, {w for p in phrases for w in p}) & X.near(tokens, phrases, most, least, ordered)
+            choices = X.product(words) if op.endswith("PP") else [[X.words_of(p[1] or p[2]) for p in re.finditer(r'"([^"]*)"|(\S+)', words)]]
+            return X.near_in(x, choices, most, least, op.startswith("*O"))
         if op == "*Q":
             return X.quorum(x, words.split()) >= int((node.options or ("1",))[0] or 1)
         if op == "*S":

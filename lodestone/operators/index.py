@@ -7,7 +7,6 @@ search for a few tokens reads their buckets alone.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,25 +25,26 @@ def postings(df: DataFrame, key: str, column: str, tokenizer: str = "TokenWord",
 
 
 def word_pattern(words) -> str:
-    """A pattern of any of the words, whole."""
-    return r"(?<![\p{L}\p{N}_])(" + "|".join(re.escape(w) for w in sorted(set(words), key=lambda w: (-len(w), w))) + r")(?![\p{L}\p{N}_])"
+    """A pattern of any of the words, whole; the words come first in it, as they are found sooner than a border is."""
+    order = sorted(set(words), key=lambda w: (-len(w), w))
+    return "(" + "|".join(f"{re.escape(w)}(?<!{X.IN_WORD}{re.escape(w)})" for w in order) + f")(?!{X.IN_WORD})"
 
 
 def frequencies(df: DataFrame, key: str, column: str, tokenizer: str = "TokenWord", only=None) -> DataFrame:
     """(token, key, tf) without positions, summed up before the shuffle.
 
-    only: the tokens that are wanted. Records without any fall away before they are tokenized, and of words
-    nothing else is taken out of the text, so a search without a written index moves only what it finds.
+    key: the unique column. only: the tokens that are wanted. Of words nothing else is taken out of the text, by
+    one pattern, and they are counted record by record, so a search without a written index shuffles nothing here.
     """
     x = F.col(column)
     if only is None:
-        tokens = X.tokenize(x, tokenizer)
-    else:
-        only = sorted({X.fold(w) for w in only})
-        n = X.normalize(x)
-        df = df.where(reduce(lambda a, b: a | b, [F.contains(n, F.lit(w)) for w in only], F.lit(False)))
-        tokens = F.regexp_extract_all(n, F.lit(word_pattern(only)), F.lit(1)) if tokenizer == "TokenWord" else F.filter(X.tokenize(x, tokenizer), lambda t: t.isin(only))
-    return df.select(F.col(key).alias("key"), F.explode(tokens).alias("token")).groupBy("token", "key").agg(F.count("*").alias("tf"))
+        return df.select(F.col(key).alias("key"), F.explode(X.tokenize(x, tokenizer)).alias("token")).groupBy("token", "key").agg(F.count("*").alias("tf"))
+    only = sorted({X.fold(w) for w in only})
+    if not only:
+        return df.select(F.lit("").alias("token"), F.col(key).alias("key"), F.lit(0).cast("long").alias("tf")).limit(0)
+    found = F.regexp_extract_all(X.normalize(x), F.lit(word_pattern(only)), F.lit(1)) if tokenizer == "TokenWord" else X.tokenize(x, tokenizer)
+    each = X.let(found, lambda t: F.transform(F.array(*map(F.lit, only)), lambda w: F.struct(w.alias("token"), F.size(F.filter(t, lambda y: y == w)).cast("long").alias("tf"))))
+    return df.select(F.col(key).alias("key"), F.inline(F.filter(each, lambda e: e["tf"] > 0))).select("token", "key", "tf")
 
 
 def write(p: DataFrame, path: str, buckets: int = BUCKETS) -> None:
@@ -73,7 +73,7 @@ def df_ratio(p: DataFrame, records: int) -> DataFrame:
 
 def tf_idf(p: DataFrame, token: str, records: int) -> DataFrame:
     """(key, _score) of a token: max(tf * ln(N / df), 1), with the exact df."""
-    mine = p.where(F.col("token") == token)
+    mine = p.where(F.col("token") == token).repartition("key")  # found once: both sides reuse this exchange of its few rows
     df = mine.groupBy("token").agg(F.count("*").alias("df"))
     return mine.join(df, "token").select("key", F.greatest(F.col("tf") * F.log(F.lit(float(records)) / F.col("df")), F.lit(1.0)).alias("_score"))
 
