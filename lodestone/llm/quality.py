@@ -108,18 +108,17 @@ class Network:
         out["emb"] = demb
         return out
 
-    def fit(self, texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> "Network":
+    def fit(self, examples: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> "Network":
+        """examples: (bytes, live positions) of each document's halves."""
         r = np.random.default_rng(seed)
         m, v, t = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
         weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
         for epoch in range(epochs):
-            order = r.permutation(len(texts))
+            order = r.permutation(len(examples))
             for i in range(0, len(order), BATCH):
                 who = order[i : i + BATCH]
-                raw = b"".join(texts[j] for j in who)
-                offs = np.concatenate([[0], np.cumsum([len(texts[j]) for j in who])]).astype(np.int64)
-                _, at, end, first = places(offs, TRAIN_HALVES)
-                grid, live = halves(np.frombuffer(raw, np.uint8), at, end)
+                grid, live = (np.concatenate([examples[j][k] for j in who]) for k in (0, 1))
+                first = np.concatenate([[0], np.cumsum([len(examples[j][0]) for j in who])])[:-1]
                 t += 1
                 rate = RATE * (1 - epoch / epochs)
                 for k, g in self.step(grid, live, first, y[who], weight[who]).items():
@@ -152,13 +151,30 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: st
     chosen = {r.doc_id: r.y for r in rows.join(best.select("y", "h"), ["y", "h"]).select("doc_id", "y").collect()}  # 2 * sample rows at most
     if not chosen:
         return Constant(0.5)
-    got = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.col("doc_id").isin(sorted(chosen)))
-    texts = {r.doc_id: r.text.encode() for r in got.groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
-    ids = sorted(texts)
+    # Of each text its bytes in so many halves are gathered, however long it is: 25 kB at most.
+    wide = 4 * HALF + 4
+
+    def cut(batches):
+        for rows, buf, offs in C.text_slices(batches):
+            doc, at, end, first = places(offs, TRAIN_HALVES)
+            grid, live = halves(buf, at, end)
+            edge = np.append(first, len(doc))
+            parts = [grid[i:j].tobytes() + np.packbits(live[i:j], axis=1).tobytes() for i, j in zip(edge[:-1], edge[1:])]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(parts, pa.binary())], ["doc_id", "part"])
+
+    got = C.source(docs, text_col, id_col).where(F.col("doc_id").isin(sorted(chosen))).mapInArrow(cut, "doc_id long, part binary")
+    parts = {r.doc_id: r.part for r in got.groupBy("doc_id").agg(F.min("part").alias("part")).collect()}
+    ids = sorted(parts)
     y = np.array([chosen[i] for i in ids])
     if not ids or y.min() == y.max():
         return Constant(float(y[0]) if ids else 0.5)
-    return Network().fit([texts[i] for i in ids], y)
+
+    def example(part):
+        n = len(part) // (wide + HALF // 8)
+        raw = np.frombuffer(part, np.uint8)
+        return raw[: n * wide].reshape(n, wide), np.unpackbits(raw[n * wide :].reshape(n, HALF // 8), axis=1).astype(bool)
+
+    return Network().fit([example(parts[i]) for i in ids], y)
 
 
 def score(docs: DataFrame, model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

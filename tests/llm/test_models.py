@@ -127,3 +127,13 @@ def test_added_spans_never_meet_base_ones():
             s += len(text[s:e]) - len(text[s:e].lstrip(pii._EDGE))
             if inner and not any(x < s + len(inner) and s < y for x, y in base):
                 assert any(not q[3] and q[0] == s and q[2] == s + len(inner) for q in got)
+
+
+def test_learning_from_very_long_and_repeated_texts(spark):
+    good, bad = "plain words that follow each other in calm order " * 6, "BUY!! NOW!! 777 $$$ " * 12
+    rows = [(i, (good if i % 2 else bad) * (400 if i < 4 else 1)) for i in range(80)] + [(5, bad), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect() if r.doc_id > 59}
+    assert all((s > 0.5) == bool(i % 2) for i, s in got.items())
