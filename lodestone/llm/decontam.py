@@ -175,7 +175,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     items = found.select("h", "text").distinct().join(windows.select("text", "item_id").distinct(), "text").groupBy("h").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     spans = found.groupBy("h").agg(F.collect_set(F.struct("start", "k")).alias("spans")).join(items, "h")
     # Most texts have no hit and need no join; those that do, be they copied ever so often, are joined by row.
-    many = rows.join(spans.select("h"), "h", "left_semi").groupBy("h").agg(F.count("*").alias("n"))
+    many = C.materialize(rows.groupBy("h").agg(F.count("*").alias("n")))  # summed up before any join
     right = C.materialize(spans.join(many, "h"))
     total = right.agg(F.sum("n")).first()[0] or 0
     hit = C.spread_join(rows, right, "h", "n", total).select("doc_id", "n_words", "items", "spans")
