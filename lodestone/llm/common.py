@@ -6,6 +6,7 @@ time, so memory doesn't depend on the rows in a batch; a longer document is one
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -99,8 +100,9 @@ def forget(*frames: DataFrame) -> None:
             fs.delete(p, True)
 
 
-def parts(spark: SparkSession, size: int, each: int = 32 << 20) -> int:
-    """How many partitions a shuffle of about size bytes needs: they grow with the data."""
+def parts(spark: SparkSession, size: int) -> int:
+    """How many partitions a shuffle of about size bytes needs: of 32 MB, or for very much data of up to 256 MB."""
+    each = min(1 << 28, max(1 << 25, math.isqrt(size << 20)))
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
 
 
