@@ -383,6 +383,14 @@ def vector_tf_idf(spark, d):
     return got.withColumn("weight", F.round("weight", 5) + 0.0)
 
 
+@query(f"WITH p AS (SELECT item_id AS key, len(list_filter({_WORDS}, lambda x: x = 'the')) AS a, len(list_filter({_WORDS}, lambda x: x = 'of')) AS b FROM benchmark) SELECT key, (a + b)::BIGINT AS _score FROM p WHERE a > 0 OR b > 0")
+def search_written_index(spark, d):
+    path = _scratch(spark)
+    index.write(index.postings(_t(spark, d, "benchmark"), "item_id", "text"), path, buckets=16)
+    got = index.search(spark.read.parquet(path), ["the", "of"], every=False, buckets=16)  # reads two buckets at most
+    return got.select("key", F.col("_score").cast("long").alias("_score"))
+
+
 # ---- loading, commands, outputs -------------------------------------------------------------------------
 @query("SELECT id, n, name, n * 2 AS twice FROM (VALUES (1, 10, 'a'), (2, 5, 'b2'), (3, 7, 'c'), (4, NULL, 'd')) t(id, n, name)")
 def load_command(spark, d):

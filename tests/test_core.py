@@ -388,3 +388,15 @@ def test_only_the_shards_of_a_range_are_read(spark, tmp_path):
     logical.remove_in_place(spark, str(tmp_path / "log"), "ts", "2024-01-02T06:00:00", "2024-01-19")
     left = logical.read(spark, str(tmp_path / "log"))
     assert sorted(col(left, "k")) == [0, 1, 2, 3, 4, *range(73, 80)] and col(logical.shard_list(left), "shard") == ["20240101", "20240102", "20240119", "20240120"]
+
+
+def test_a_written_index_is_read_by_buckets(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"w{i % 40} common w{(i * 7) % 40}") for i in range(200)], "k long, t string")
+    index.write(index.postings(df, "k", "t"), str(tmp_path / "i"), buckets=32)
+    p = spark.read.parquet(str(tmp_path / "i"))
+    got = index.search(p, ["w3", "common"], buckets=32)
+    assert "PartitionFilters: [isnotnull(bucket" in plan(got) or "PartitionFilters: [bucket" in plan(got)
+    assert {r.key: r._score for r in got.collect()} == {i: 1 + (i % 40 == 3) + (i * 7 % 40 == 3) for i in range(200) if 3 in (i % 40, i * 7 % 40)}
+    few = index.frequencies(df, "k", "t", only=["W3", "common"])
+    assert sorted(map(tuple, few.collect())) == sorted((r.token, r.key, r.tf) for r in index.frequencies(df, "k", "t").where("token in ('w3', 'common')").collect())
+    assert index.frequencies(df, "k", "t", only=[]).count() == 0
