@@ -275,6 +275,10 @@ def token_filter(tokens: Column, name: str, **options) -> Column:
     if name.startswith("TokenFilterNFKC"):
         return _each_token(tokens, name.replace("TokenFilter", "Normalizer"), options)
     if name == "TokenFilterStem":
+        if options.get("algorithm", "english") not in ("english", "porter"):
+            raise ValueError(f"no stemming of {options['algorithm']}")
+        if options.get("keep_original"):
+            return F.flatten(F.transform(tokens, lambda t: F.array_distinct(F.array(stem(t), t))))
         return F.transform(tokens, stem)
     raise ValueError(f"no token filter {name}")
 

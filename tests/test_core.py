@@ -299,6 +299,11 @@ def test_stems(spark):
     words = ["cats", "ponies", "caresses", "walking", "walked", "hopping", "hoped", "sky", "happy", "relational", "is", "bring", "été"]
     got = spark.createDataFrame([(words,)], "w array<string>").select(X.token_filter(F.col("w"), "TokenFilterStem").alias("s")).first().s
     assert got == ["cat", "poni", "caress", "walk", "walk", "hop", "hop", "sky", "happi", "relate", "is", "bring", "été"]
+    said = spark.createDataFrame([(["develops", "developing", "developed", "develop"],)], "w array<string>")
+    assert said.select(X.token_filter(F.col("w"), "TokenFilterStem").alias("s")).first().s == ["develop"] * 4
+    assert said.select(X.token_filter(F.col("w"), "TokenFilterStem", keep_original=True).alias("s")).first().s == ["develop", "develops", "develop", "developing", "develop", "developed", "develop"]
+    with pytest.raises(ValueError):
+        X.token_filter(F.col("w"), "TokenFilterStem", algorithm="french")
     nfkc = spark.createDataFrame([(["ＡＢ", "ｃ"],), ([],)], "w array<string>").select(X.token_filter(F.col("w"), "TokenFilterNFKC").alias("s")).collect()
     assert [r.s for r in nfkc] == [["ab", "c"], []]
 
