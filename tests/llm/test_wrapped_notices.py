@@ -1,4 +1,6 @@
-"""License notices that are wrapped over two lines."""
+"""License notices that are wrapped over lines, templates of a table, and letters that aren't of ASCII."""
+
+import re
 
 from lodestone.llm import licenses
 
@@ -24,3 +26,14 @@ def test_templates_of_a_table(spark):
     got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs, said=said).collect()}
     assert got == {1: ("beer,beer-2", 1.0), 2: ("", 0.0), 3: ("", 0.0)}
     assert licenses.scan(docs, said={}).where("labels <> ''").count() == 0
+
+
+def test_only_letters_of_ascii_match(spark):
+    """Signs whose lower case is or begins like a letter of a-z are no such letters."""
+    odd = ["this wor\u212a is released under the mit license", "M\u0130T LICENSE", "mit l\u0130cense", "\u2126 GNU General Public License \u03a3", "\u00c9 CC BY \u00c9\u0130\u212a x", "\u1e9e", ""]
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    low, word = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    for r in licenses.scan(docs).collect():
+        w = re.findall(word, odd[r.doc_id].translate(low))
+        at = [i for p in licenses.PHRASES for q in [p.split()] for i in range(len(w)) if w[i : i + len(q)] == q]
+        assert (r.n_words, r.n_base, r.first_word) == (len(w), len(at), min(at, default=None)), odd[r.doc_id]
