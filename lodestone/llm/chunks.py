@@ -5,7 +5,9 @@ chunks sends each bucket of the hash space one packed row for each chunk; a pass
 each chunk with one packed row. Nothing is exploded to a row for each word or byte: sorted hashes go as
 differences, in as few bytes as they need, compressed. Chunks and buckets grow with the square root of
 the texts up to MOST bytes, so that rows are few and each holds many entries; their numbers, and those of
-the shuffles' partitions, grow with the texts, so a task's share doesn't.
+the shuffles' partitions, grow with the texts, so a task's share doesn't. (At 100 TB of text there are 3 million
+chunks and half as many buckets, and a row holds 3 or 4 hashes: the cost is then near that of a shuffle of
+a row for each few words, and a larger MOST, for executors with more memory, lowers it.)
 
 A key that very many texts have (a hot one) can't be told by its bucket alone: the operators count each
 key's entries first and deal the entries of hot keys by a longer key.
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-LEAST, MOST, LEAST_BUCKETS = 1 << 21, 1 << 23, 256  # bytes of text of a chunk; buckets
+LEAST, MOST, LEAST_BUCKETS = 1 << 21, 1 << 25, 256  # bytes of text of a chunk; buckets
 NO_ID = (1 << 63) - 1  # stands for a null doc_id, which comes after all others
 BITS = 28  # of a hash inside its bucket
 _U = np.uint64
