@@ -84,6 +84,7 @@ def unpack(batches, answered: bool = False):
             raw = lambda x: np.frombuffer(x.as_buffer(), np.int64)
             more = [(x["bucket"].as_py(), x["answer"].as_py()) for x in told[i].values] if answered and told[i].is_valid else None
             yield c.as_py(), raw(ids), raw(offs), np.frombuffer(zstandard.decompress(data.as_py()), np.uint8), more
+    C.release()
 
 
 # ---- keys -------------------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ time, so memory doesn't depend on the rows in a batch; a longer document is one
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
@@ -111,6 +112,15 @@ def source(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def release() -> None:
+    """Give memory that this worker has freed back to the system: a worker stays for later tasks, next to others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE, column: str = "text"):
     """(rows, bytes, offsets) of runs of rows with about limit bytes of text."""
     for b in batches:
@@ -128,6 +138,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE, column: s
             j = min(n, max(i + 1, int(np.searchsorted(offs, offs[i] + limit, "right")) - 1))
             yield b.slice(i, j - i), buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
             i = j
+    release()
 
 
 def pieces(offs: np.ndarray, limit: int = 2 * PIECE):

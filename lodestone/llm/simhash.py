@@ -29,36 +29,59 @@ from . import setjoin as J
 SHINGLE, RADIUS, UNTOUCHED, AT_ONCE = 3, 2, 4, 1 << 15
 
 
+def _majority(which: np.ndarray, n: np.ndarray, hashes) -> np.ndarray:
+    """The bits that over half of each document's hashes have; which: of which document each is, hashes(i, j): some of them."""
+    ones = np.zeros((len(n), 64), np.int64)
+    for i in range(0, len(which), AT_ONCE):
+        own = which[i : i + AT_ONCE]
+        bits = np.unpackbits(hashes(i, i + len(own)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        ones[own[cut]] += np.add.reduceat(bits, cut, axis=0, dtype=np.int32)
+    bits = (2 * ones > n[:, None]).astype(np.uint8)
+    return np.packbits(bits, axis=1, bitorder="little").view(np.int64).reshape(-1)
+
+
+def _shingles(doc: np.ndarray, docs: int, shingle: int):
+    """(document of each shingle, its first word, how many words it has) of words by document; and each document's number of shingles."""
+    words = np.bincount(doc, minlength=docs)
+    first = np.concatenate([[0], np.cumsum(words)])[:-1]
+    k = np.minimum(words, shingle)  # a shorter document is one shingle
+    n = np.where(words > 0, words - k + 1, 0)
+    which = np.repeat(np.arange(docs), n)
+    return which, first[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n), k[which], n
+
+
 def fingerprint_slice(buf: np.ndarray, offs: np.ndarray, shingle: int) -> np.ndarray:
-    """The signed 64-bit fingerprint of each document of a slice."""
+    """The signed 64-bit fingerprint of each document of a slice, of XXH64 of its shingles."""
     starts, ends = C.word_spans(buf, offs, C.NON_SPACE)
     docs = len(offs) - 1
-    ones, n = np.zeros((docs, 64), np.int64), np.zeros(docs, np.int64)
-    if len(starts):
-        lens = ends - starts
-        text = np.full(int(lens.sum()) + len(lens), 32, np.uint8)
-        at = np.concatenate([[0], np.cumsum(lens + 1)])
-        byte = C.NON_SPACE[buf]
-        place = np.ones(len(text), bool)
-        place[at[1:] - 1] = False
-        text[place] = C.LOWER[buf[byte]]
-        doc = C.owner(starts, offs)
-        words = np.bincount(doc, minlength=docs)
-        first = np.concatenate([[0], np.cumsum(words)])[:-1]
-        k = np.minimum(words, shingle)  # a shorter document is one shingle
-        n = np.where(words > 0, words - k + 1, 0)
-        which = np.repeat(np.arange(docs), n)
-        begin = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        lo, hi = at[begin], at[begin + k[which]] - 1
-        raw, h = text.tobytes(), xxhash.xxh64_intdigest
-        for i in range(0, len(which), AT_ONCE):
-            part = np.array([h(raw[s:e], 42) for s, e in zip(lo[i : i + AT_ONCE].tolist(), hi[i : i + AT_ONCE].tolist())], np.uint64)
-            bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            own = which[i : i + AT_ONCE]
-            cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            ones[own[cut]] += np.add.reduceat(bits, cut, axis=0, dtype=np.int32)
-    bits = (2 * ones > n[:, None]).astype(np.uint8)
-    return np.packbits(bits, axis=1, bitorder="little").view(np.int64).reshape(-1)
+    if not len(starts):
+        return np.zeros(docs, np.int64)
+    lens = ends - starts
+    text = np.full(int(lens.sum()) + len(lens), 32, np.uint8)
+    at = np.concatenate([[0], np.cumsum(lens + 1)])
+    place = np.ones(len(text), bool)
+    place[at[1:] - 1] = False
+    text[place] = C.LOWER[buf[C.NON_SPACE[buf]]]
+    which, begin, k, n = _shingles(C.owner(starts, offs), docs, shingle)
+    lo, hi = at[begin], at[begin + k] - 1
+    raw, h = text.tobytes(), xxhash.xxh64_intdigest
+    return _majority(which, n, lambda i, j: np.array([h(raw[s:e], 42) for s, e in zip(lo[i:j].tolist(), hi[i:j].tolist())], np.uint64))
+
+
+def quick_fingerprints(buf: np.ndarray, offs: np.ndarray, shingle: int) -> np.ndarray:
+    """Fingerprints of the library's own shingle hashes, which are summed up without a call for each shingle."""
+    starts, ends = C.word_spans(buf, offs, C.NON_SPACE)
+    docs = len(offs) - 1
+    if not len(starts):
+        return np.zeros(docs, np.int64)
+    h, doc = C.spans_hash(C.LOWER[buf], starts, ends), C.owner(starts, offs)
+    which, begin, k, n = _shingles(doc, docs, shingle)
+    out = np.zeros(len(which), np.uint64)
+    for size in np.unique(k):
+        here = np.flatnonzero(k == size)
+        out[here] = C.windows_hash(h, int(size))[begin[here]]
+    return _majority(which, n, lambda i, j: out[i:j])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -208,7 +231,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY, radiu
         for chunk, ids, offs, buf, _ in K.unpack(batches):
             raw = buf.tobytes()
             exact = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(raw[s:e].lower().split())) for s, e in zip(offs[:-1].tolist(), offs[1:].tolist())), np.int64).reshape(-1, 2)
-            columns = [pa.array(x) for x in (np.full(len(ids), chunk), np.arange(len(ids)), ids, fingerprint_slice(buf, offs, NEAR_SHINGLE), exact[:, 0].copy(), exact[:, 1].copy())]
+            columns = [pa.array(x) for x in (np.full(len(ids), chunk), np.arange(len(ids)), ids, quick_fingerprints(buf, offs, NEAR_SHINGLE), exact[:, 0].copy(), exact[:, 1].copy())]
             yield pa.RecordBatch.from_arrays(columns, ["chunk", "row", "doc_id", "fp", "low", "high"])
 
     def places(table: pa.Table) -> pa.Table:
