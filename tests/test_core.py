@@ -252,15 +252,15 @@ def test_readings_by_prefix(spark):
 
 
 def test_highlight_and_snippet_goldens(spark):
-    df = spark.createDataFrame([(1, "<b>Rroonga</b> is a Ruby binding of Groonga."), (2, "Mroonga is a ＭｙＳＱＬ engine"), (3, None)], "k long, body string")
+    df = spark.createDataFrame([(1, "<b>Polestar</b> is a Ruby binding of Lodestar."), (2, "Morning is a ＱｕｅＲＹ engine"), (3, None)], "k long, body string")
     one = lambda k, said, **p: select(df.where(f"k = {k}"), output_columns=said, **p).records.first()[0]
-    assert one(1, 'highlight(body, "groonga", "<span class=\\"k1\\">", "</span>")') == '<b>Rroonga</b> is a Ruby binding of <span class="k1">Groonga</span>.'
-    assert one(1, 'highlight(body, "groonga", "<i>", "</i>", {"html_mode": true})') == "&lt;b&gt;Rroonga&lt;/b&gt; is a Ruby binding of <i>Groonga</i>."
-    assert one(1, 'highlight(body, "groonga", "rroonga", {"sequential_class_tag_mode": true})') == '<b><mark class="keyword-1">Rroonga</mark></b> is a Ruby binding of <mark class="keyword-0">Groonga</mark>.'
-    assert one(2, 'highlight(body, "mysql", "[", "]")') == "Mroonga is a [ＭｙＳＱＬ] engine"
-    assert one(2, 'highlight_full(body, "", false, "mysql", "[", "]", "is", "(", ")")') == "Mroonga (is) a ＭｙＳＱＬ engine"
-    assert one(1, "highlight_html(body)", query="ruby", match_columns="body") == '&lt;b&gt;Rroonga&lt;/b&gt; is a <span class="keyword">Ruby</span> binding of Groonga.'
-    assert one(1, "snippet_html(body)", query="ruby", match_columns="body") == ['&lt;b&gt;Rroonga&lt;/b&gt; is a <span class="keyword">Ruby</span> binding of Groonga.']
+    assert one(1, 'highlight(body, "lodestar", "<span class=\\"k1\\">", "</span>")') == '<b>Polestar</b> is a Ruby binding of <span class="k1">Lodestar</span>.'
+    assert one(1, 'highlight(body, "lodestar", "<i>", "</i>", {"html_mode": true})') == "&lt;b&gt;Polestar&lt;/b&gt; is a Ruby binding of <i>Lodestar</i>."
+    assert one(1, 'highlight(body, "lodestar", "polestar", {"sequential_class_tag_mode": true})') == '<b><mark class="keyword-1">Polestar</mark></b> is a Ruby binding of <mark class="keyword-0">Lodestar</mark>.'
+    assert one(2, 'highlight(body, "query", "[", "]")') == "Morning is a [ＱｕｅＲＹ] engine"
+    assert one(2, 'highlight_full(body, "", false, "query", "[", "]", "is", "(", ")")') == "Morning (is) a ＱｕｅＲＹ engine"
+    assert one(1, "highlight_html(body)", query="ruby", match_columns="body") == '&lt;b&gt;Polestar&lt;/b&gt; is a <span class="keyword">Ruby</span> binding of Lodestar.'
+    assert one(1, "snippet_html(body)", query="ruby", match_columns="body") == ['&lt;b&gt;Polestar&lt;/b&gt; is a <span class="keyword">Ruby</span> binding of Lodestar.']
     assert one(1, 'snippet(body, "none", "[", "]", {"default": "-"})') == ["-"] and one(1, 'snippet(body, "none", "[", "]")') is None and one(3, 'highlight(body, "a", "b", "c")') is None
     with pytest.raises(S.SyntaxProblem):
         one(1, 'highlight(body, "a", "b")')
