@@ -17,7 +17,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents of an identifiable language: those without text or without a letter go."""
+    """Keep documents that have a language by their parse: those without a letter go, and those that no language knows."""
     return langid.keep_identified(docs, langid.train(docs))
 
 
@@ -48,7 +48,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = common.materialize(docs)
+            common.forget(before)
     return docs
