@@ -6,12 +6,11 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import extensions
 from .catalog import _POINTS, _RAD, _TF, _WORDS, _points, _rounded, _s, _t, query
-from .functions import scalar as A, text as X, times
+from .functions import text as X, times
 from .operators import facets, index
 from .operators.select import range_filter, select
 from .operators.tables import Table

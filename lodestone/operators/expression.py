@@ -7,7 +7,6 @@ Arrays satisfy a comparison where an element does.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

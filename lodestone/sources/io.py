@@ -94,11 +94,15 @@ def extract_html(df: DataFrame, column: str) -> DataFrame:
 
 
 def extract_json(df: DataFrame, column: str) -> DataFrame:
-    """The text in a column of JSON: all strings and numbers that are values, in their order, parted by spaces."""
-    plain = r'"((?:[^"\\\\]|\\\\.)*)"(?!\s*:)|(?<=[:,\[\s])(-?\d[\d.eE+-]*)'
-    found = F.regexp_extract_all(F.concat(F.lit(" "), column), F.lit(f"({plain})"), F.lit(1))
-    bare = F.transform(found, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r'^"|"$', ""), r"\\\\[nrtbf/\"]", " ")))
-    return df.withColumn(column, F.array_join(F.filter(bare, lambda x: x != ""), " "))
+    """The text in a column of JSON: all strings and numbers that are values, in their order, parted by spaces.
+
+    Keys are taken as well, with their colons, and dropped, so that nothing begins at a quote that ends one.
+    """
+    token = r'("(?:[^"\\]|\\.)*"(?:\s*:)?|-?\d[\d.eE+-]*)'
+    values = F.filter(F.regexp_extract_all(column, F.lit(token), F.lit(1)), lambda x: ~x.endswith(":"))
+    blank = F.transform(values, lambda x: F.regexp_replace(F.regexp_replace(x, '^"|"$', ""), r"\\[nrtbf]", " "))
+    plain = F.transform(blank, lambda x: F.trim(F.regexp_replace(x, r'\\(["\\/])', "$1")))
+    return df.withColumn(column, F.array_join(F.filter(plain, lambda x: x != ""), " "))
 
 
 def to_xml(df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import extensions
 from lodestone.functions import geo, scalar as A, text as X, times
 from lodestone.operators import facets, index, joins, tables, windows
 from lodestone.operators.expression import Compiler
@@ -405,3 +406,29 @@ def test_a_written_index_is_read_by_buckets(spark, tmp_path):
     few = index.frequencies(df, "k", "t", only=["W3", "common"])
     assert sorted(map(tuple, few.collect())) == sorted((r.token, r.key, r.tf) for r in index.frequencies(df, "k", "t").where("token in ('w3', 'common')").collect())
     assert index.frequencies(df, "k", "t", only=[]).count() == 0
+
+
+def test_json_html_and_tables_of_replacements(spark, tmp_path):
+    (tmp_path / "t.json").write_text('{"k": 1, "name": "a"}\nnot json\n{"k": 2}\n')
+    got = io.load_json(spark, str(tmp_path / "t.json"), "k long, name string, _errors string").cache()
+    assert sorted((r.k or 0, r.name, r._errors) for r in got.collect()) == [(0, None, "not json"), (1, "a", None), (2, None, None)]
+    page = "<html><head><style>p {}</style><script>var x = '<p>';</script></head><body><h1>A &amp; B</h1><p>one<br/>two</p></body></html>"
+    df = spark.createDataFrame([(page,), ("",), (None,)], "t string")
+    assert [r.t for r in io.extract_html(df, "t").collect()] == ["A & B one two", "", None]
+    said = spark.createDataFrame([('{"a": ["x", 1, {"b": "y z"}], "c": -2.5, "d": null}',), ("{}",), (None,)], "t string")
+    assert [r.t for r in io.extract_json(said, "t").collect()] == ["x 1 y z -2.5", "", None]
+    said = spark.createDataFrame([('["a:", "q\\"r: 5\\"", "b\\\\c", "l\\nm", {"k:1" : "v"}, true, 7]',)], "t string")
+    assert io.extract_json(said, "t").first().t == 'a: q"r: 5" b\\c l m v 7'
+    table = {"ab": "1", "a": "2"}
+    assert spark.range(1).select(X.normalize_table(F.lit("abac"), table).alias("x")).first().x == "12c"
+
+
+def test_what_is_registered_can_be_taken_back(spark):
+    df = spark.createDataFrame([(2,)], "n long")
+    extensions.register_function("squared", lambda x: x * x)
+    assert select(df, output_columns="squared(n)").records.first()[0] == 4 and "squared" in extensions.registered("function")
+    extensions.unregister("function", "squared")
+    with pytest.raises(S.SyntaxProblem):
+        select(df, output_columns="squared(n)")
+    with pytest.raises(ValueError):
+        extensions.register("verb", "x", None)
