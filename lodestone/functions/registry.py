@@ -147,7 +147,7 @@ def snippet(c, name: str, args: list, options: dict) -> Column:
     words = [(w, '<span class="keyword">', "</span>") for w in _said(args[1:]) or c.keywords] if html else _tagged(c, _said(args[1:]), options)
     got = A.snippets(x, words, int(options.get("width", 200)), int(options.get("max_n_results", 3)), escape=html or bool(options.get("html_escape")), prefix=options.get("prefix") or "", suffix=options.get("suffix") or "", skip_leading_spaces=bool(options.get("skip_leading_spaces", True)))
     default = options.get("default")
-    return F.when(F.size(got) > 0, got).otherwise(F.lit(None) if default is None else F.array(F.lit(default)))
+    return X.let(got, lambda g: F.when(F.size(g) > 0, g).otherwise(F.lit(None) if default is None else F.array(F.lit(default))))
 
 
 def fuzzy(c, args: list, options: dict) -> tuple[Column, Column]:

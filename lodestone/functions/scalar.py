@@ -112,13 +112,21 @@ def snippets(x: Column, words, width: int = 200, most: int = 3, opening: str = "
         return F.array().cast("array<string>")
     some = "|".join(keyword_pattern(w) for w, _, _ in sorted(words, key=lambda w: -len(w[0])))
     side = max((width - max(len(w) for w, _, _ in words)) // 2, 0)
-    found = F.regexp_extract_all(x, F.lit(f"((?s:.{{0,{side}}}?)(?:{some})(?s:.{{0,{side}}}))"), F.lit(1))
+    # A pattern that begins with up to side characters tries each of them at each place of the text. Here the first
+    # keyword is looked for from where the last piece ended, and the reading ends with the last piece that is wanted.
+    gap, rest = "(?s:.*?)", f"(?:{some})(?s:.{{0,{side}}})"
+    few = 0 < most <= 16  # a repeated group takes stack for each piece
+    used = F.regexp_extract(x, f"^(?:{gap}{rest}){{1,{most}}}", 0) if few else x
 
     def dress(s):
         s = F.ltrim(s) if skip_leading_spaces else s
         return F.concat(F.lit(prefix), highlight(s, words, escape), F.lit(suffix))
 
-    return F.transform(F.slice(found, 1, most), dress)
+    def pieces(u):
+        before, found = (F.slice(F.regexp_extract_all(u, F.lit(f"\\G({gap})({rest})"), F.lit(k)), 1, most) for k in (1, 2))
+        return F.zip_with(before, found, lambda b, f: dress(F.concat(F.right(b, F.lit(side)), f)))
+
+    return X.let(used, pieces)
 
 
 def fuzzy_distance(x: Column, query: str, prefix_length: int = 0, transposition: bool = True) -> Column:
