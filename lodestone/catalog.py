@@ -449,8 +449,7 @@ def score_tf_idf(spark, d):
 
 @query(f"SELECT token, count(*) AS df, round(count(*) / (SELECT count(*) FROM documents), 8) AS ratio FROM (SELECT DISTINCT doc_id, unnest({_WORDS}) AS token FROM documents) GROUP BY 1")
 def index_df_ratio(spark, d):
-    docs = _t(spark, d, "documents")
-    return _rounded(index.df_ratio(index.frequencies(docs, "doc_id", "text"), docs.count()), ratio=8)
+    return _rounded(index.token_ratios(_t(spark, d, "documents"), "doc_id", "text"), ratio=8)
 
 
 @query(f"""WITH t AS (SELECT conv_id * 1000 + turn AS key, {_WORDS} AS w FROM conversations), p AS (SELECT key, token, len(w) AS size, count(*) AS tf FROM (SELECT key, w, unnest(w) AS token FROM t) GROUP BY ALL),

@@ -71,6 +71,18 @@ def df_ratio(p: DataFrame, records: int) -> DataFrame:
     return p.groupBy("token").agg(F.count("*").alias("df")).withColumn("ratio", F.col("df") / F.lit(records))
 
 
+def token_ratios(df: DataFrame, key: str, column: str, tokenizer: str = "TokenWord") -> DataFrame:
+    """What df_ratio makes of all tokens of a table's texts, without a posting for each token of each record.
+
+    A record's different tokens are told in its own row and summed up before the shuffle, which grows with the
+    different tokens there are. Records that share a key are one record, so postings are made where some do.
+    """
+    n = df.groupBy(key).agg(F.count("*").alias("n")).agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
+    if (n["most"] or 0) > 1:
+        return df_ratio(frequencies(df, key, column, tokenizer), n["all"])
+    return df_ratio(df.select(F.explode(F.array_distinct(X.tokenize(F.col(column), tokenizer))).alias("token")), n["all"] or 0)
+
+
 def tf_idf(p: DataFrame, token: str, records: int) -> DataFrame:
     """(key, _score) of a token: max(tf * ln(N / df), 1), with the exact df."""
     mine = p.where(F.col("token") == token).repartition("key")  # found once: both sides reuse this exchange of its few rows
